@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, toxicity
+from . import line_dedup, ngram_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,5 +20,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.strip_lines(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op7_line_dedup": op7_line_dedup}
-ORACLE_SQL = {"op7_line_dedup": line_dedup.sql()}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op7_line_dedup": op7_line_dedup, "op9_ngram_join": op9_ngram_join}
+ORACLE_SQL = {"op7_line_dedup": line_dedup.sql(), "op9_ngram_join": ngram_join.sql()}

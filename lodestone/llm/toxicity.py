@@ -170,48 +170,49 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     return [(r["text"], r["toxic"]) for r in rows.orderBy(order, "doc_id").limit(most_toxic + most_clean).select("text", "toxic").toArrow().to_pylist()]
 
 
-def learn(sample: list[tuple[str, int]], shortest: int = 4, longest: int = 14, alpha: float = 0.01, known=None) -> tuple[tuple[str, float, bool], ...]:
+def learn(sample: list[tuple[str, int]], shortest: int = 4, longest: int = 10, alpha: float = 0.01, known=None) -> tuple[tuple[str, float, bool], ...]:
     """The curated lexicon and the stems that mark toxic texts of the sample.
 
     A stem is a beginning of words that toxic texts have far more often than clean
     ones: 20 times as often, and by chance with probability ``alpha`` over all the
     beginnings tried.  Near copies count once: support is the number of different
-    least word hashes.  Of
-    beginnings with one support the longest stays, and of those, what extends
-    another goes.
+    least word hashes.  Of beginnings with one support the longest stays, and of
+    those, what extends another goes.  A curated entry that at least three clean
+    texts have, and toxic ones hardly more often, is dropped.
     """
     known = tuple(known if known is not None else default_lexicon())
-    groups: dict[int, set[int]] = {0: set(), 1: set()}
-    found: dict[int, dict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
-    for text, toxic_ in sorted(sample, key=lambda x: -x[1]):
-        ws = set(_WORD_RE.findall(text))
-        if not ws:
-            continue
-        group = min(xxhash.xxh64_intdigest(w) for w in ws)
-        groups[toxic_].add(group)
-        heads = {w[:k] for w in ws for k in range(shortest, min(longest, len(w)) + 1)}
-        for p in heads if toxic_ else heads & found[1].keys():
-            found[toxic_][p].add(group)
-    t, c = len(groups[1]), len(groups[0])
+    curated = {w for w, _, _ in known}
+    texts: dict[int, list[tuple[int, set[str]]]] = {0: [], 1: []}
+    for text, toxic_ in sample:
+        if ws := set(_WORD_RE.findall(text)):
+            texts[toxic_].append((min(map(xxhash.xxh64_intdigest, ws)), ws))
+    t, c = (len({group for group, _ in texts[k]}) for k in (1, 0))
     if not t or not c:
         return known
-    tried = max(1, sum(len(own) >= 5 for own in found[1].values()))
-    good: dict[str, tuple[int, float]] = {}
-    for p, own in found[1].items():
-        a, b = len(own), len(found[0].get(p, ()))
-        odds = ((a + 0.5) / (t + 1)) / ((b + 0.5) / (c + 1))
-        if odds >= 20 and math.erfc(math.sqrt(_g(a, b, t, c) / 2)) * tried < alpha:
-            good[p] = (a, odds)
+    found: dict[int, dict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
+    for group, ws in texts[1]:
+        for p in {w[:k] for w in ws for k in range(shortest, min(longest, len(w)) + 1)} | ws & curated:
+            found[1][p].add(group)
+    tried = {p for p, own in found[1].items() if len(own) >= 5}
+    roots = {p[:shortest] for p in tried}
+    for group, ws in texts[0]:
+        some = [w for w in ws if w[:shortest] in roots]
+        for p in {w[:k] for w in some for k in range(shortest, min(longest, len(w)) + 1)} & tried | ws & curated:
+            found[0][p].add(group)
+
+    def odds(p: str) -> float:
+        return (len(found[1].get(p, ())) + 0.5) / (t + 1) / ((len(found[0].get(p, ())) + 0.5) / (c + 1))
+
+    good = {p: len(found[1][p]) for p in tried if odds(p) >= 20 and math.erfc(math.sqrt(_g(len(found[1][p]), len(found[0].get(p, ())), t, c) / 2)) * len(tried) < alpha}
     longer: dict[str, list[str]] = defaultdict(list)
     for p in good:
         longer[p[:-1]].append(p)
-    closed = {p: v for p, v in good.items() if not any(good[q][0] == v[0] for q in longer[p])}
-    kept: list[tuple[str, float, bool]] = []
-    curated = {w for w, _, _ in known}
+    closed = [p for p in good if not any(good[q] == good[p] for q in longer[p])]
+    stems: list[tuple[str, float, bool]] = []
     for p in sorted(closed, key=lambda p: (len(p), p)):
-        if not any(p.startswith(w) for w, _, _ in kept) and not any(w.startswith(p) for w in curated):
-            kept.append((p, round(min(2.0, max(1.0, math.log(closed[p][1]) / 4)), 3), False))
-    return known + tuple(kept)
+        if not any(p.startswith(w) for w, _, _ in stems) and not any(w.startswith(p) for w in curated):
+            stems.append((p, round(min(2.0, max(1.0, math.log(odds(p)) / 4)), 3), False))
+    return tuple(e for e in known if len(found[0].get(e[0], ())) < 3 or odds(e[0]) >= 3) + tuple(stems)
 
 
 def _g(a: int, b: int, t: int, c: int) -> float:

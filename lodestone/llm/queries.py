@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join, toxicity
+from . import decontaminate, line_dedup, ngram_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,9 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op7_line_dedup": op7_line_dedup, "op9_ngram_join": op9_ngram_join}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op9_ngram_join": op9_ngram_join}
 ORACLE_SQL = {"op7_line_dedup": line_dedup.sql(), "op9_ngram_join": ngram_join.sql()}

@@ -3,17 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed and written to the cluster's checkpoint folder.
+def folder(df: DataFrame) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the one the session names in spark.checkpoint.dir; only a
-    session that names none, as in tests, gets a folder of its own.
+    It is the one that the session names in spark.checkpoint.dir; only a session that
+    names none, as in tests, gets a folder of its own.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed and written to the checkpoint folder, which all executors share."""
+    folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder, and read again; for whole tables."""
+    path = f"{folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, changed where a table has them already."""
+    clash = {c.lower() for c in taken}
+    return [next(x for k in range(len(clash) + 1) if (x := w + "_" * k).lower() not in clash) for w in wanted]

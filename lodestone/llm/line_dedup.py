@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .durable import checkpointed
+from .durable import checkpointed, fresh
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 3
@@ -75,21 +75,41 @@ def strip_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, d
     site; repeated rows are treated alike, so that a line which stays in one stays
     in its repeats; an empty table gives an empty one.  Other columns are ignored.
     """
-    gone = checkpointed(removals(docs, min_sites, lg_k, doc_id, text, site))
-    small = gone.count() <= broadcast_rows
-    left = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
-    right = gone.select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), "gone")
-    joined = left.join(F.broadcast(right) if small else right, F.col("t").eqNullSafe(F.col("gone_t")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    lines = F.split("text", "\n", -1)
-    stays = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("gone", k)), "\n")
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(site).alias("source"))
+    joined, gone, stays = _with_removals(given, min_sites, lg_k, "doc_id", "text", "source", broadcast_rows)
     return joined.select(
         "doc_id",
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(stays).alias("text"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
+        F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        stays.alias("text"),
     )
 
 
+def _with_removals(docs: DataFrame, min_sites: int, lg_k: int, doc_id: str, text: str, site: str, broadcast_rows: int) -> tuple[DataFrame, Column, Column]:
+    """``docs`` joined with its removals, the positions to remove from each row, and the text that stays."""
+    names = fresh(docs.columns, "gone_id", "gone_t", "gone")
+    right = checkpointed(removals(docs, min_sites, lg_k, doc_id, text, site).toDF(*names))
+    small = right.count() <= broadcast_rows
+    same = (F.xxhash64(docs[text]) == right[names[1]]) & docs[doc_id].eqNullSafe(right[names[0]])
+    joined = docs.join(F.broadcast(right) if small else right, same, "left")
+    gone = right[names[2]]
+    stays = F.array_join(F.filter(F.split(docs[text], "\n", -1), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    return joined, gone, F.when(gone.isNull(), docs[text]).otherwise(stays)
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, doc_id: str = "doc_id", text: str = "text", site: str = "source", n_chars: str = "n_chars", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs``, all columns kept, with the text that ``strip_lines`` leaves, and the number
+    of characters brought up to date where there is such a column.
+
+    A row that had nothing but boilerplate which stays elsewhere is left out; rows
+    that lose no line, empty and null texts among them, are unchanged.
+    """
+    joined, gone, stays = _with_removals(docs, min_sites, lg_k, doc_id, text, site, broadcast_rows)
+    kept = joined.filter(gone.isNull() | (F.trim(F.translate(stays, "\n\r\t", "   ")) != ""))
+    count = {n_chars: F.when(gone.isNull(), docs[n_chars]).otherwise(F.length(stays).cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {}
+    return kept.select(*[stays.alias(c) if c == text else count.get(c, docs[c]).alias(c) for c in docs.columns])
+
+
 def sql(min_sites: int = MIN_SITES) -> str:
     """The same in DuckDB SQL over ``documents`` with distinct doc_ids."""
     return f"""

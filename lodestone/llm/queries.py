@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, ngram_join, toxicity
+from . import bpe, decontaminate, line_dedup, ngram_join, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.strip_lines(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op9_ngram_join": op9_ngram_join}
+QUERIES = {"op2_toxicity": op2_toxicity, "op6_decontaminate": op6_decontaminate, "op7_line_dedup": op7_line_dedup, "op8_bpe": op8_bpe, "op9_ngram_join": op9_ngram_join}
 ORACLE_SQL = {"op7_line_dedup": line_dedup.sql(), "op9_ngram_join": ngram_join.sql()}

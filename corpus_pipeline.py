@@ -10,31 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from lodestone.llm.durable import written
+from lodestone.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that aren't toxic, by a lexicon learned from the labelled ones among them."""
+    ship(spark)
     lexicon = toxicity.trained_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(~toxicity.toxic(docs["text"], lexicon)["is_toxic"])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines stay in one document only."""
+    ship(spark)
     return line_dedup.without_boilerplate(docs)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship(spark)
     return ngram_join.one_of_each(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    ship(spark)
     return decontaminate.clean_only(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, tokens, and whether these decode to the text."""
+    ship(spark)
     return bpe.encode(docs, keep=("doc_id", "lang", "source", "n_chars"))
 
 

@@ -1,18 +1,20 @@
 """Exact n-gram Jaccard self-join by grouped prefix filtering.
 
-Two texts whose sets of word n-grams have a Jaccard similarity of t share an n-gram
-among the first ``size - ceil(t * size) + 1`` of each, in any one order of n-grams.
+Two texts whose sets of word n-grams have a Jaccard similarity of t at least share L
+n-grams among the first ``size - ceil(t * size) + L`` of each, in any one order.
 
-1. ``frequencies``: how often n-grams occur, over all texts, in a count-min row of
-   fixed width.  It only orders n-grams, rare ones first; any order is correct.
+1. ``frequencies``: how often n-grams occur, over all texts, in a row of counters.  It
+   only orders n-grams, rare ones first; any order is correct.
 2. ``_prefixes``: each text's prefix.  Texts with the same prefix and size are one
    group, so exact copies meet as one entry however many they are.
-3. Groups that share a prefix n-gram and whose sizes allow t are candidates, found
-   in one shuffle by n-gram and one sorted sweep over each partition.
-4. ``_verified``: candidates expand to the different sets of their groups, whose
-   intersection is counted exactly; these to documents.
-
-N-grams are 64-bit hashes throughout.
+3. Groups that share L prefix n-grams and whose sizes allow t are candidates, found in
+   one shuffle by n-gram, one sorted sweep over each partition and one sum.
+4. ``_verified``: candidates expand to the different sets of their groups.  Each set
+   travels once to the least neighbour of a clique, not once for each pair, and
+   intersections are counted exactly; pairs of sets then expand to documents.
+
+An n-gram is 54 bits, its size class and 46 of its hash, which leaves ten bits for the
+row: one sort of a block orders all its sets.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,44 +32,55 @@ from . import textcore as tc
 from .durable import checkpointed
 
 #: Words in an n-gram, and the similarity from which on documents are near duplicates.
-N, THRESHOLD = 2, 0.65
-#: log2 of the counters that order n-grams.
-WIDTH = 20
+N, THRESHOLD = 3, 0.5
+#: L: n-grams that the prefixes of a candidate pair share at least, where the sets are that large.
+SHARED = 8
+#: log2 of the counters of n-grams; a fixed size.  What many documents share stands out of
+#: the even load of the rest at any size of the corpus.
+WIDTH = 22
+#: Rows of a block: ten bits.
+ROWS = 1024
+_LOW, _HASH = np.uint64((1 << 54) - 1), np.uint64((1 << 46) - 1)
 #: Up to so many group keys are broadcast to pick the sets to verify; more are joined by shuffle.
 BROADCAST_KEYS = 4_000_000
 #: Up to so many rows to drop are broadcast; more are joined by shuffle.
 DROP_ROWS = 1_000_000
+#: Prefix n-grams that one task sweeps.
+SWEEP_ROWS = 3_000_000
 #: Pairs that one sweep step holds at most.
 STEP = 1 << 20
 
 
-def prefix_length(size: np.ndarray, t: float) -> np.ndarray:
-    return size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
+def prefix_length(size: np.ndarray, t: float, shared: int = SHARED) -> np.ndarray:
+    return np.minimum(size, size - np.ceil(size * t - 1e-9).astype(np.int64) + shared)
 
 
-def sets(arr: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def sets(arr: pa.Array, n: int, often: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets, n-grams) by block: row k of the block has the different
-    n-gram hashes [offsets[k], offsets[k + 1]), ascending.  A text of fewer than n
+    n-grams [offsets[k], offsets[k + 1]), rare ones first.  A text of fewer than n
     words, but one at least, has the hash of all its words as its only n-gram."""
     data, off = tc.buffers(arr)
-    for a, b in tc.blocks(off):
-        h, _, _, first = tc.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
-        count = np.diff(first)
-        row = np.repeat(np.arange(b - a), count)
-        g = tc.ngrams(h, n)
-        same = row[: len(g)] == row[n - 1 : n - 1 + len(g)]
-        g, row = g[same], row[: len(same)][same]
-        short = np.flatnonzero((count > 0) & (count < n))
-        if len(short):
-            whole = np.array([tc.mix(np.bitwise_xor.reduce(tc.mix(h[first[k] : first[k + 1]] + np.arange(count[k], dtype=np.uint64)), keepdims=True))[0] for k in short], np.uint64)
-            g, row = np.concatenate([g, whole]), np.concatenate([row, short])
-        order = np.lexsort((g, row))
-        g, row = g[order], row[order]
-        if len(g):
-            keep = np.ones(len(g), bool)
-            keep[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
-            g, row = g[keep], row[keep]
-        yield a, np.searchsorted(row, np.arange(b - a + 1)), g
+    shift = np.uint64(64 - WIDTH)
+    for lo, hi in tc.blocks(off):
+        for a in range(lo, hi, ROWS):
+            b = min(hi, a + ROWS)
+            h, _, _, first = tc.words(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            count = np.diff(first)
+            row = np.repeat(np.arange(b - a, dtype=np.uint64), count)
+            g = tc.ngrams(h, n)
+            rarity = often[(g >> shift).astype(np.int64)].astype(np.uint64)
+            key = (row[: len(g)] << np.uint64(54)) | (rarity << np.uint64(46)) | (g >> np.uint64(18) & _HASH)
+            key = key[row[: len(g)] == row[n - 1 : n - 1 + len(g)]]
+            short = np.flatnonzero((count > 0) & (count < n))
+            if len(short):
+                whole = [tc.mix(np.bitwise_xor.reduce(tc.mix(h[first[k] : first[k + 1]] + np.arange(count[k], dtype=np.uint64)), keepdims=True))[0] for k in short]
+                key = np.concatenate([key, (short.astype(np.uint64) << np.uint64(54)) | (np.array(whole, np.uint64) >> np.uint64(18) & _HASH)])
+            key.sort()
+            if len(key):
+                keep = np.ones(len(key), bool)
+                keep[1:] = key[1:] != key[:-1]
+                key = key[keep]
+            yield a, np.searchsorted(key, np.arange(b - a + 1, dtype=np.uint64) << np.uint64(54)), key & _LOW
 
 
 def _signature(g: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -76,50 +90,58 @@ def _signature(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return tc.mix(c[off[1:]] - c[off[:-1]] + np.diff(off).astype(np.uint64))
 
 
-def frequencies(texts: DataFrame, n: int = N, width: int = WIDTH) -> np.ndarray:
-    """Counts of all texts' different n-grams in 2**width counters, by the top bits of the hash.
+def frequencies(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """A size class from 0 to 255 for each of 2**WIDTH counters of all texts' n-grams, and
+    the number of n-grams.
 
     Each task counts in its own row, cut in slices that are summed by slice; the sum,
-    of a fixed size at any size of the corpus, comes to the driver.
+    of a fixed size, comes to the driver.
     """
-    slices, shift = 16, np.uint64(64 - width)
+    slices, shift = 64, np.uint64(64 - WIDTH)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(1 << width, np.uint32)
+        mine, seen = np.zeros(1 << WIDTH, np.uint8), 0
         for batch in batches:
-            for _, _, g in sets(batch.column(0), n):
-                mine += np.bincount((g >> shift).astype(np.int64), minlength=1 << width).astype(np.uint32)
-        if mine.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(mine, slices)], pa.binary())], ["slice", "counts"])
+            data, off = tc.buffers(batch.column(0))
+            for a, b in tc.blocks(off):
+                g = tc.ngrams(tc.words(data[off[a] : off[b]], off[a : b + 1] - off[a])[0], n)
+                at, k = np.unique((g >> shift).astype(np.uint32), return_counts=True)
+                mine[at] = np.minimum(255, mine[at] + k)
+                seen += len(g)
+        if seen:
+            counts = pa.array([x.tobytes() for x in np.split(mine, slices)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), counts, pa.array([seen] + [0] * (slices - 1), pa.int64())], ["slice", "counts", "seen"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << width) // slices, np.int64)
+        total, seen = np.zeros((1 << WIDTH) // slices, np.int64), 0
         for batch in batches:
+            seen += pc.sum(batch.column(2)).as_py() or 0
             for x in batch.column(1):
-                total += np.frombuffer(x.as_buffer(), np.uint16)
+                total += np.frombuffer(x.as_buffer(), np.uint8)
         # the order needs no more than the size of a count: an eighth of a power of two
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8).tobytes()], pa.binary())], ["slice", "counts"])
+        classes = np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([classes], pa.binary()), pa.array([seen], pa.int64())], ["slice", "counts", "seen"])
 
-    rows = texts.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().to_pylist()
-    out = np.zeros((slices, (1 << width) // slices), np.uint8)
+    schema = "slice int, counts binary, seen bigint"
+    rows = texts.mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).toArrow().to_pylist()
+    out = np.zeros((slices, (1 << WIDTH) // slices), np.uint8)
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
-    return out.reshape(-1)
+    return out.reshape(-1), sum(r["seen"] for r in rows)
 
 
 def _grouped(arr: pa.Array, n: int, t: float, often: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By block: first row; of each row the size, group key and set signature; the rows'
-    n-grams and their offsets; the prefixes' n-grams and their offsets."""
-    shift = np.uint64(64 - int(math.log2(len(often))))
-    for a, off, g in sets(arr, n):
+    """By block: first row; of each row the size, group key (40 bits; groups that share
+    one are only verified together) and set signature; the rows' n-grams and their
+    offsets; the prefixes' n-grams and their offsets."""
+    for a, off, g in sets(arr, n, often):
         size = np.diff(off)
-        row = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((g, often[(g >> shift).astype(np.int64)], row))
-        rank = np.arange(len(g)) - off[row]
-        head = rank < np.where(size > 0, prefix_length(size, t), 0)[row]
-        p = g[order][head]
-        poff = np.searchsorted(row[head], np.arange(len(size) + 1))
-        yield a, size, _signature(p, poff) ^ tc.mix(size.astype(np.uint64)), _signature(g, off), g, off, p, poff
+        rank = np.arange(len(g)) - np.repeat(off[:-1], size)
+        length = np.where(size > 0, prefix_length(size, t), 0)
+        p = g[rank < np.repeat(length, size)]
+        poff = np.concatenate([[0], np.cumsum(length)])
+        key = (_signature(p, poff) ^ tc.mix(size.astype(np.uint64))) >> np.uint64(24)
+        yield a, size, key, _signature(g, off), g, off, p, poff
 
 
 def _prefixes(texts: DataFrame, n: int, t: float, often) -> DataFrame:
@@ -136,20 +158,20 @@ def _prefixes(texts: DataFrame, n: int, t: float, often) -> DataFrame:
     return texts.mapInArrow(run, "g bigint, size int, grams array<bigint>")
 
 
-def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (g1 < g2) of different groups in one run of equal n-grams whose sizes allow t.
-    The three arrays are ordered by n-gram, then size."""
+def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(g1, g2, k), g1 < g2: pairs of different groups in runs of equal n-grams whose sizes
+    allow t.  k is 1, or more where the sets are too small to share SHARED n-grams.  The
+    arrays are ordered by n-gram, then size."""
     if not len(gram):
         return
     new = np.ones(len(gram), bool)
     new[1:] = gram[1:] != gram[:-1]
     run = np.cumsum(new) - 1
     end = np.append(np.flatnonzero(new)[1:], len(gram))[run]
-    # in a run the partners of k are those after it, up to the size that is too large; sizes ascend
+    # in a run the partners of k are those after it, up to the size that is too large
     key = run.astype(np.int64) * (1 << 32)
     last = np.minimum(end, np.searchsorted(key + size, key + np.floor(size / t + 1e-9).astype(np.int64), side="right"))
-    many = last - np.arange(len(gram)) - 1
-    many = np.maximum(many, 0)
+    many = np.maximum(last - np.arange(len(gram)) - 1, 0)
     total = np.cumsum(many)
     a = 0
     while a < len(gram):
@@ -158,57 +180,57 @@ def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float)
         k = np.repeat(np.arange(a, b), many[a:b])
         if len(k):
             j = k + 1 + np.arange(len(k)) - np.repeat(total[a:b] - many[a:b] - before, many[a:b])
-            x, y = g[k], g[j]
-            differ = x != y
-            x, y = x[differ], y[differ]
-            yield np.minimum(x, y), np.maximum(x, y)
+            differ = g[k] != g[j]
+            k, j = k[differ], j[differ]
+            need = np.minimum(SHARED, np.ceil((size[k].astype(np.int64) + size[j]) * (t / (1 + t)) - 1e-9)).astype(np.int64)
+            yield np.minimum(g[k], g[j]), np.maximum(g[k], g[j]), SHARED + 1 - need
         a = b
 
 
-def _candidates(prefixes: DataFrame, t: float) -> DataFrame:
-    """(g1, g2) of groups that share a prefix n-gram; g1 = g2 isn't among them."""
+def _candidates(prefixes: DataFrame, t: float, tasks: int) -> DataFrame:
+    """(g1, g2) of groups that share enough prefix n-grams; g1 = g2 isn't among them."""
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)]
-
-        def out(gram, g, size):
-            lone = np.ones(len(gram), bool)
-            if len(gram) > 1:
-                same = gram[1:] == gram[:-1]
-                lone[1:] &= ~same
-                lone[:-1] &= ~same
-            gram, g, size = gram[~lone], g[~lone], size[~lone]
-            if len(gram):
-                # copies in one run are one entry
-                once = np.ones(len(gram), bool)
-                once[1:] = (gram[1:] != gram[:-1]) | (g[1:] != g[:-1]) | (size[1:] != size[:-1])
-                gram, g, size = gram[once], g[once], size[once]
-            for x, y in _pairs_of_runs(gram, g, size, t):
-                pairs = np.unique(np.stack([x, y], 1), axis=0) if len(x) < 4096 else _unique_pairs(x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["g1", "g2"])
+    def out(gram: np.ndarray, g: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lone = np.ones(len(gram), bool)
+        same = gram[1:] == gram[:-1]
+        lone[1:] &= ~same
+        lone[:-1] &= ~same
+        gram, g, size = gram[~lone], g[~lone], size[~lone]
+        if not len(gram):
+            return
+        once = np.ones(len(gram), bool)  # copies in one run are one entry
+        once[1:] = (gram[1:] != gram[:-1]) | (g[1:] != g[:-1])
+        for x, y, k in _pairs_of_runs(gram[once], g[once], size[once], t):
+            x, y, k = _summed(x, y, k)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(k.astype(np.int32))], ["g1", "g2", "k"])
 
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            new = [batch.column(k).to_numpy() for k in range(3)]
-            held = [np.concatenate(x) for x in zip(held, new)]
-            if len(held[0]) < 200_000:
-                continue
-            cut = int(np.searchsorted(held[0], held[0][-1])) if held[0][0] <= held[0][-1] else 0
-            if cut:
-                yield from out(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        yield from out(*held)
+            held.append([batch.column(k).to_numpy() for k in range(3)])
+            rows += batch.num_rows
+            if rows >= 1_000_000:
+                gram, g, size = (np.concatenate(x) for x in zip(*held))
+                cut = int(np.searchsorted(gram, gram[-1]))
+                if cut:
+                    yield from out(gram[:cut], g[:cut], size[:cut])
+                held, rows = [[gram[cut:], g[cut:], size[cut:]]], len(gram) - cut
+        if held:
+            yield from out(*(np.concatenate(x) for x in zip(*held)))
 
     flat = prefixes.select(F.explode("grams").alias("gram"), "g", "size")
-    placed = flat.repartition("gram").sortWithinPartitions("gram", "size", "g")
-    return placed.select("gram", "g", "size").mapInArrow(sweep, "g1 bigint, g2 bigint").distinct()
+    placed = flat.repartition(tasks, "gram").sortWithinPartitions("gram", "size", "g")
+    pairs = placed.select("gram", "g", "size").mapInArrow(sweep, "g1 bigint, g2 bigint, k int")
+    return pairs.groupBy("g1", "g2").agg(F.sum("k").alias("k")).filter(F.col("k") >= SHARED).select("g1", "g2")
 
 
-def _unique_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _summed(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    keep = np.ones(len(x), bool)
-    keep[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return np.stack([x[keep], y[keep]], 1)
+    x, y, k = x[order], y[order], k[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    at = np.flatnonzero(first)
+    return x[at], y[at], np.add.reduceat(k, at) if len(at) else k
 
 
 def _members(docs: DataFrame, n: int, t: float, often, keys: str) -> DataFrame:
@@ -256,9 +278,11 @@ def set_pairs(docs: DataFrame, keys: str, n: int = N, t: float = THRESHOLD, broa
     (s1, s2, overlap, size1, size2) of different sets at a similarity of t at least."""
     spark = docs.sparkSession
     texts = docs.select(docs.columns[0])
-    often = spark.sparkContext.broadcast(frequencies(texts, n))
+    classes, seen = frequencies(texts, n)
+    often = spark.sparkContext.broadcast(classes)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(seen * (1 - t) / SWEEP_ROWS))
     members = checkpointed(_members(docs, n, t, often, keys))
-    between = _candidates(_prefixes(texts, n, t, often), t)
+    between = _candidates(_prefixes(texts, n, t, often), t, tasks)
     names = members.select("g", "sig").distinct()
     within = names.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     candidates = checkpointed(between.unionByName(within))
@@ -275,26 +299,39 @@ def set_pairs(docs: DataFrame, keys: str, n: int = N, t: float = THRESHOLD, broa
 
 
 def _verified(sigs: DataFrame, found: DataFrame, t: float) -> DataFrame:
+    """(s1, s2, overlap, size1, size2) of the pairs of sets at a similarity of t at least.
+
+    A pair is checked at the least neighbour of its lesser set, where the sets of all
+    pairs that meet there come once each, ahead of the pairs.
+    """
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, here = None, {}
         for batch in batches:
-            keep, over, na, nb = [], [], [], []
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            rows: list[tuple[int, int, int, int, int]] = []
+            homes, xs, ys, grams = (batch.column(k) for k in range(4))
+            for k, (at, x, y) in enumerate(zip(homes.to_pylist(), xs.to_pylist(), ys.to_pylist())):
+                if at != home:
+                    home, here = at, {}
+                if y is None:
+                    here[x] = np.frombuffer(grams[k].as_py(), np.uint64)
+                    continue
+                a, b = here[x], here[y]
                 if min(len(a), len(b)) < t * max(len(a), len(b)) - 1e-9:
                     continue
                 o = _overlap(a, b)
                 if o >= t * (len(a) + len(b) - o) - 1e-9:
-                    keep.append(k)
-                    over.append(o)
-                    na.append(len(a))
-                    nb.append(len(b))
-            rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(v, pa.int32()) for v in (over, na, nb))], ["s1", "s2", "overlap", "size1", "size2"])
-
-    one = found.select(F.col("sig").alias("s1"), F.col("grams").alias("grams1"))
-    two = found.select(F.col("sig").alias("s2"), F.col("grams").alias("grams2"))
-    both = sigs.join(one, "s1").join(two, "s2").select("s1", "s2", "grams1", "grams2")
-    return both.mapInArrow(check, "s1 bigint, s2 bigint, overlap int, size1 int, size2 int")
+                    rows.append((x, y, o, len(a), len(b)))
+            cols = [list(c) for c in zip(*rows)] if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 3)], ["s1", "s2", "overlap", "size1", "size2"])
+
+    near = sigs.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(sigs.select(F.col("s2").alias("s"), F.col("s1").alias("o")))
+    least = near.groupBy("s").agg(F.least("s", F.min("o")).alias("home")).withColumnRenamed("s", "s1")
+    homed = checkpointed(sigs.join(least, "s1").select("home", "s1", "s2"))
+    travel = homed.select("home", F.explode(F.array("s1", "s2")).alias("sig")).distinct().join(found, "sig")
+    none = F.lit(None)
+    rows = travel.select("home", F.col("sig").alias("x"), none.cast("bigint").alias("y"), "grams").unionByName(homed.select("home", F.col("s1").alias("x"), F.col("s2").alias("y"), none.cast("binary").alias("grams")))
+    return rows.repartition("home").sortWithinPartitions("home", F.col("y").asc_nulls_first()).mapInArrow(check, "s1 bigint, s2 bigint, overlap int, size1 int, size2 int")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

@@ -74,12 +74,19 @@ def list_bytes(xs: Column) -> Column:
 POSTINGS = "array<struct<doc_id: bigint, positions: array<int>>>"
 
 
-@F.arrow_udf("binary")
-def encoded(postings: pa.Array) -> pa.Array:
+def _encoded(postings: pa.Array) -> pa.Array:
     return pa.array([None if p is None else encode_postings([(x["doc_id"], x["positions"]) for x in p]) for p in postings.to_pylist()], pa.binary())
 
 
-@F.arrow_udf(POSTINGS)
-def decoded(data: pa.Array) -> pa.Array:
+def _decoded(data: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))]))
     return pa.array([None if x is None else [{"doc_id": d, "positions": at} for d, at in decode_postings(x)] for x in data.to_pylist()], kind)
+
+
+def encoded(postings: Column | str) -> Column:
+    """The bytes of a column of posting lists."""
+    return F.arrow_udf(_encoded, "binary")(postings)
+
+
+def decoded(data: Column | str) -> Column:
+    return F.arrow_udf(_decoded, POSTINGS)(data)

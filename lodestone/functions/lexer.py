@@ -1,5 +1,9 @@
 """A lexer for Lisp source: symbols, uninterned symbols, comments (block comments nest),
-characters, function objects, strings and single signs."""
+characters, function objects, strings and signs.
+
+A token's position is where it begins, its marks included; the term of a comment, a
+character, a function object or an uninterned symbol is what follows the marks.
+"""
 
 from __future__ import annotations
 
@@ -14,11 +18,12 @@ _SYMBOL = re.compile(r"(?:\\.|\|(?:\\.|[^\\|])*\||[^\s()'`,;\"|\\])+", re.S)
 _CHARACTER = re.compile(r"#\\(?:[A-Za-z][^\s()'`,;\"]*|.)", re.S)
 _STRING = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)', re.S)
 _BLOCK = re.compile(r"#\||\|#")
+#: What the reader dispatches on when no token of its own follows: ``#(``, ``#1=``, ``#'``, ``#+`` and so on.
+_SHARP = re.compile(r"#(?:\d+[=#]|\d*[^\s\w;\"\\|)])")
 
 
 def tokens(text: str) -> Iterator[tuple[str, int, str]]:
-    """(term, position, kind); a line comment's term is what follows the semicolons, and
-    its position that of the first one."""
+    """(term, position, kind)."""
     at, n = 0, len(text)
     while at < n:
         c = text[at]
@@ -30,25 +35,28 @@ def tokens(text: str) -> Iterator[tuple[str, int, str]]:
             yield text[at:end].lstrip(";"), at, "LINE-COMMENT"
             at = end
         elif text.startswith("#|", at):
-            depth, end = 0, n
+            depth, inner, end = 0, n, n
             for m in _BLOCK.finditer(text, at):
                 depth += 1 if m[0] == "#|" else -1
                 if depth == 0:
-                    end = m.end()
+                    inner, end = m.span()
                     break
-            yield text[at:end], at, "BLOCK-COMMENT"
+            yield text[at + 2 : inner], at, "BLOCK-COMMENT"
             at = end
         elif c == '"':
             m = _STRING.match(text, at)
             yield m[0], at, "STRING"
             at = m.end()
         elif m := _CHARACTER.match(text, at):
-            yield m[0], at, "CHARACTER"
+            yield m[0][2:], at, "CHARACTER"
             at = m.end()
         elif text[at : at + 2] in ("#'", "#:") and (m := _SYMBOL.match(text, at + 2)):
             yield m[0], at, "FUNCTION-OBJECT" if text[at + 1] == "'" else "UNINTERN-SYMBOL"
             at = m.end()
-        elif c not in "()'`,#" and (m := _SYMBOL.match(text, at)) or c == "#" and (m := _SYMBOL.match(text, at)) and m.end() > at + 1:
+        elif m := _SHARP.match(text, at):
+            yield m[0], at, "T"
+            at = m.end()
+        elif c not in "()'`," and (m := _SYMBOL.match(text, at)):
             yield m[0], at, "SYMBOL"
             at = m.end()
         else:

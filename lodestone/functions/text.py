@@ -14,8 +14,10 @@ def trigrams(text: Column) -> Column:
 
     The text is split once, so the cost is linear; ``substr`` at each position isn't.
     """
-    c, n = F.split(text, ""), F.length(text)
-    terms = F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.concat(*[F.get(c, i + k) for k in range(WIDTH)]))
+    n = F.length(text)
+    # the array of characters is the variable of a function, so it is made once and not at each place
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - WIDTH), lambda i: F.concat(*[F.get(c, i + k) for k in range(WIDTH)]))
+    terms = F.get(F.transform(F.array(F.split(text, "")), at), F.lit(0))
     return F.when(n >= WIDTH, terms).otherwise(F.array().cast("array<string>"))
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity, trigrams
@@ -20,6 +20,16 @@ from ..schema import POSTING
 _BLOCK = 1 << 20
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` in a partition for each core at least.
+
+    A table of many files or row groups, as all large ones are, stays as it is; one that
+    would be read by a few tasks only is moved once, before the work that needs the cores.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def tokenize(docs: DataFrame, text: str = "body") -> DataFrame:
     """(doc_id, pos, term): each trigram of each document."""
     return docs.select("doc_id", F.posexplode(trigrams(F.col(text))).alias("pos", "term"))
@@ -93,12 +103,17 @@ def size(docs: DataFrame, text: str = "body") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(trigrams(F.col(text)))).alias("term")).agg(F.countDistinct("term").alias("n_terms"))
 
 
+def in_order() -> Column:
+    """Whether a posting list has its documents in order, and their positions too."""
+    last = F.struct(F.lit(True).alias("good"), F.lit(None).cast("bigint").alias("last"))
+    step = lambda a, p: F.struct((a["good"] & (a["last"].isNull() | (a["last"] <= p["doc_id"]))).alias("good"), p["doc_id"].alias("last"))
+    docs_good = F.aggregate("postings", last, step, lambda a: a["good"])
+    return docs_good & F.forall("postings", lambda p: p["positions"] == F.array_sort(p["positions"]))
+
+
 def out_of_order(lists: DataFrame) -> DataFrame:
     """(term) of posting lists whose documents aren't in order, or whose positions aren't."""
-    docs = F.transform("postings", lambda p: p["doc_id"])
-    docs_good = F.aggregate(docs, F.struct(F.lit(True).alias("good"), F.lit(None).cast("bigint").alias("last")), lambda a, x: F.struct((a["good"] & (a["last"].isNull() | (a["last"] <= x))).alias("good"), x.alias("last")))["good"]
-    positions_good = F.forall("postings", lambda p: p["positions"] == F.array_sort(p["positions"]))
-    return lists.filter(~(docs_good & positions_good)).select("term")
+    return lists.filter(~in_order()).select("term")
 
 
 def describe(index: DataFrame, documents: DataFrame) -> DataFrame:
@@ -107,7 +122,12 @@ def describe(index: DataFrame, documents: DataFrame) -> DataFrame:
     return index.join(names, "doc_id").select("term", "filename", "doc_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), " ").alias("positions"))
 
 
+def absent(kept: DataFrame, new: DataFrame, *key: str) -> DataFrame:
+    """The rows of ``new`` whose key ``kept`` lacks, one for each key: the least."""
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*new.columns))).filter("_n = 1").drop("_n")
+    return first.join(kept.select(*key), list(key), "left_anti").select(*new.columns)
+
+
 def insert_if_absent(kept: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """The rows of ``kept``, and those of ``new`` whose key it lacks, one for each key."""
-    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*new.columns))).filter("_n = 1").drop("_n")
-    return kept.unionByName(first.join(kept.select(*key), list(key), "left_anti"))
+    return kept.unionByName(absent(kept, new, *key))

@@ -62,7 +62,7 @@ def match_positions(index: DataFrame, phrase: str) -> DataFrame:
     terms = [phrase[k : k + WIDTH] for k in range(len(_checked(phrase)) - WIDTH + 1)]
     # as many rows as the phrase has letters
     wanted = F.broadcast(index.sparkSession.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, off int"))
-    votes = index.filter(F.col("term").isin(sorted(set(terms)))).join(wanted, "term").select("doc_id", (F.explode("positions") - F.col("off")).alias("pos"))
+    votes = index.filter(F.col("term").isin(sorted(set(terms)))).join(wanted, "term").select("doc_id", "off", F.explode("positions").alias("at")).select("doc_id", (F.col("at") - F.col("off")).alias("pos"))
     return votes.groupBy("doc_id", "pos").agg(F.count("*").alias("n")).filter((F.col("n") == len(terms)) & (F.col("pos") >= 0)).select("doc_id", "pos")
 
 
@@ -108,6 +108,6 @@ def symbols(symbol: DataFrame, definition: DataFrame, documents: DataFrame, quer
 
 def metadata(results: DataFrame) -> DataFrame:
     """(doc_id, filename, start, end, metadata): symbol results in the shape of all results."""
-    pairs = F.array(F.struct(F.lit("specifier"), "specifier"), F.struct(F.lit("symbol_name"), "symbol_name"), F.struct(F.lit("package_name"), "package_name"))
-    some = F.map_from_entries(F.filter(pairs, lambda p: p["col2"].isNotNull()))
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).alias("value")) for c in ("specifier", "symbol_name", "package_name")])
+    some = F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
     return results.select("doc_id", "filename", "start", F.col("start").alias("end"), some.alias("metadata"))

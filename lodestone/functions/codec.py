@@ -61,8 +61,8 @@ def decode_postings(data: bytes) -> list[Posting]:
 
 def number_bytes(x: Column) -> Column:
     """The encoding's length in bytes, without making it."""
-    out = F.lit(10)
-    for k in range(9, 0, -1):
+    out = F.lit(9)
+    for k in range(8, 0, -1):
         out = F.when(x < F.lit(1 << 7 * k), F.lit(k)).otherwise(out)
     return out.cast("int")
 

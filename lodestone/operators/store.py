@@ -34,8 +34,12 @@ def _shaped(name: str, rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema])
 
 
+def read_one(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(RELATIONS[name]).parquet(f"{path}/{name}")
+
+
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in RELATIONS.items()}
+    return {n: read_one(spark, path, n) for n in RELATIONS}
 
 
 def attach(spark: SparkSession, path: str, prefix: str = "") -> dict[str, DataFrame]:
@@ -48,4 +52,4 @@ def attach(spark: SparkSession, path: str, prefix: str = "") -> dict[str, DataFr
 
 def add(spark: SparkSession, path: str, name: str, rows: DataFrame) -> None:
     """Appends the rows whose key isn't stored yet; those that are stored stay as they are."""
-    write(path, {name: absent(read(spark, path)[name], _shaped(name, rows), *KEYS[name])}, "append")
+    write(path, {name: absent(read_one(spark, path, name), _shaped(name, rows), *KEYS[name])}, "append")

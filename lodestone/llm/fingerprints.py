@@ -99,18 +99,16 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, text: str = "text", do
     return given.mapInArrow(run, "doc_id bigint, n_anchors int, positions array<int>, hashes array<bigint>")
 
 
-def matches(left: DataFrame, right: DataFrame, least: int = 3, most_shared: int = 1000) -> DataFrame:
+def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     """(doc_a, doc_b, shift, anchors, start_a, end_a) of two tables of fingerprints: passages
     of ``left`` that occur in ``right`` ``shift`` characters further on, with ``least`` common
-    anchors at least.  Hashes that more than ``most_shared`` rows of a side have are set
-    aside while anchors are paired, as they would pair everything with everything."""
+    anchors at least.  Each anchor is one row with all its places until its pairs are made."""
 
     def flat(df: DataFrame, end: str) -> DataFrame:
-        return df.select(F.col("doc_id").alias(f"doc_{end}"), F.explode(F.arrays_zip("positions", "hashes")).alias("x")).select(f"doc_{end}", F.col("x.hashes").alias("hash"), F.col("x.positions").alias(f"at_{end}"))
-
-    a, b = flat(left, "a"), flat(right, "b")
-    for side in (a, b):
-        hot = side.groupBy("hash").count().filter(F.col("count") > most_shared).select("hash")
-        a, b = (a.join(hot, "hash", "left_anti"), b) if side is a else (a, b.join(hot, "hash", "left_anti"))
-    pairs = a.join(b, "hash").filter("doc_a <> doc_b").withColumn("shift", F.col("at_b") - F.col("at_a"))
-    return pairs.groupBy("doc_a", "doc_b", "shift").agg(F.countDistinct("at_a").cast("int").alias("anchors"), F.min("at_a").alias("start_a"), (F.max("at_a")).alias("end_a")).filter(F.col("anchors") >= least)
+        one = df.select("doc_id", F.explode(F.arrays_zip("positions", "hashes")).alias("x"))
+        return one.groupBy(F.col("x.hashes").alias("hash")).agg(F.collect_list(F.struct("doc_id", F.col("x.positions").alias("at"))).alias(end))
+
+    both = flat(left, "a").join(flat(right, "b"), "hash")
+    pairs = both.select("b", F.explode("a").alias("a")).select("a", F.explode("b").alias("b")).filter("a.doc_id <> b.doc_id")
+    pairs = pairs.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), (F.col("b.at") - F.col("a.at")).alias("shift"), F.col("a.at").alias("at"))
+    return pairs.groupBy("doc_a", "doc_b", "shift").agg(F.count_distinct("at").cast("int").alias("anchors"), F.min("at").alias("start_a"), F.max("at").alias("end_a")).filter(F.col("anchors") >= least)

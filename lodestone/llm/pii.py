@@ -137,7 +137,7 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
 
 def _possible(text: Column) -> Column:
     """Every kind has a digit or an at sign; texts without either need no closer look."""
-    return text.rlike("[0-9@]")
+    return text.rlike(r"[\p{Nd}@]")
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

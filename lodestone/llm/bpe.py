@@ -13,14 +13,17 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textcore as tc
+
 #: Where the ranks of a public byte-level vocabulary are; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,28 +38,33 @@ def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def _encoder(_: int, pattern: str, held: _Held) -> tuple[tiktoken.Encoding, dict[int, bytes]]:
-    ranks = held.ranks
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), {v: k for k, v in ranks.items()}
-
+class Vocabulary:
+    """Ranks made ready for a process: the encoder, and all tokens' bytes in one row."""
 
-class _Held:
-    """Ranks as an argument that a cache can take; one for each process and broadcast."""
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        by_id = sorted(ranks.items(), key=lambda x: x[1])
+        self.length = np.zeros(by_id[-1][1] + 1, np.int64)
+        self.length[[k for _, k in by_id]] = [len(x) for x, _ in by_id]
+        self.start = np.cumsum(self.length) - self.length
+        self.blob = np.frombuffer(b"".join(x for x, _ in by_id), np.uint8)
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def raw(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of tokens, and where each token's begin and end among them (n + 1 values)."""
+        size = self.length[tokens]
+        end = np.concatenate([[0], np.cumsum(size)])
+        return self.blob[np.repeat(self.start[tokens] - end[:-1], size) + np.arange(end[-1])], end
 
-    def __hash__(self) -> int:
-        return 0
 
-    def __eq__(self, other: object) -> bool:
-        return True
+_ready: list[tuple[dict[bytes, int], Vocabulary]] = []
 
 
-def encoder(vocabulary, pattern: str = PATTERN) -> tuple[tiktoken.Encoding, dict[int, bytes]]:
-    """(encoding, bytes of each token) for a broadcast of ranks; once in a process."""
-    return _encoder(vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary), pattern, _Held(vocabulary.value))
+def ready(vocabulary) -> Vocabulary:
+    """The vocabulary of a broadcast of ranks; made once in a process, the last one is held."""
+    ranks = vocabulary.value
+    if not _ready or _ready[0][0] is not ranks:
+        _ready[:] = [(ranks, Vocabulary(ranks))]
+    return _ready[0][1]
 
 
 def boundaries(text: str, pattern: regex.Pattern) -> list[int]:
@@ -67,18 +75,33 @@ def boundaries(text: str, pattern: regex.Pattern) -> list[int]:
 RESULT = "struct<n_tokens: int, tokens: array<int>, exact: boolean>"
 
 
-def _encode_all(texts: list[str | None], vocabulary) -> pa.Array:
-    encoding, raw = encoder(vocabulary)
-    ids = [None if x is None else encoding.encode_ordinary(x) for x in texts]
-    exact = [True if x is None else b"".join(map(raw.__getitem__, i)) == x.encode() for x, i in zip(texts, ids)]
-    counts = pa.array([0 if i is None else len(i) for i in ids], pa.int32())
-    return pa.StructArray.from_arrays([counts, pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], ["n_tokens", "tokens", "exact"])
+#: Bytes of text whose tokens are made at a time.
+BLOCK = 1 << 20
+
+
+def _encode_all(texts: pa.Array, vocabulary) -> pa.Array:
+    v = ready(vocabulary)
+    data, off = tc.buffers(texts)
+    tokens, counts, exact = [np.zeros(0, np.int32)], [], []
+    for a, b in tc.blocks(off, BLOCK):
+        ids = [v.encoding.encode_to_numpy(x) if x else np.zeros(0, np.uint32) for x in texts.slice(a, b - a).to_pylist()]
+        flat = np.concatenate(ids)
+        n = np.array([len(x) for x in ids], np.int64)
+        raw, end = v.raw(flat)
+        at = end[np.concatenate([[0], np.cumsum(n)])]
+        exact += [np.array_equal(raw[x:y], data[s:e]) for x, y, s, e in zip(at, at[1:], off[a:b], off[a + 1 : b + 1])]
+        tokens.append(flat.astype(np.int32))
+        counts.append(n)
+    n = np.concatenate([np.zeros(0, np.int64), *counts])
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens)), mask=pc.is_null(texts))
+    return pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), lists, pa.array(exact, pa.bool_())], ["n_tokens", "tokens", "exact"])
 
 
 def _whole(vocabulary):
     @F.arrow_udf(RESULT)
     def encode(texts: pa.Array) -> pa.Array:
-        return _encode_all(texts.to_pylist(), vocabulary)
+        return _encode_all(texts, vocabulary)
 
     return encode
 
@@ -86,8 +109,14 @@ def _whole(vocabulary):
 def _decoder(vocabulary):
     @F.arrow_udf("binary")
     def decode(tokens: pa.Array) -> pa.Array:
-        raw = encoder(vocabulary)[1]
-        return pa.array([None if x is None else b"".join(map(raw.__getitem__, x)) for x in tokens.to_pylist()], pa.binary())
+        v, out = ready(vocabulary), []
+        for k in range(0, len(tokens), 256):
+            some = tokens.slice(k, 256)
+            raw, end = v.raw(some.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            n = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False)
+            at = end[np.concatenate([[0], np.cumsum(n)])]
+            out += [raw[x:y].tobytes() if good else None for x, y, good in zip(at, at[1:], some.is_valid().to_pylist())]
+        return pa.array(out, pa.binary())
 
     return decode
 

@@ -345,16 +345,17 @@ def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str
     """
     keyed = docs.filter(F.col(doc_id).isNotNull()).select(F.lower(F.col(text)).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
     members, pairs = set_pairs(keyed, "doc_id bigint", n, t, broadcast_keys)
-    members = members.select("doc_id", "sig").distinct()
-    pairs = checkpointed(pairs)
+    # documents travel as lists, one for each set, and come apart where the pairs are returned
+    lists = checkpointed(members.groupBy("sig").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")))
     sizes = pairs.select("s1", "s2", (F.col("overlap") / (F.col("size1") + F.col("size2") - F.col("overlap"))).alias("jaccard"))
-    one, two = members.withColumnsRenamed({"doc_id": "x", "sig": "s1"}), members.withColumnsRenamed({"doc_id": "y", "sig": "s2"})
-    across = sizes.join(one, "s1").join(two, "s2").filter("x <> y").select("x", "y", "jaccard")
-    alike = members.groupBy("sig").agg(F.count("*").alias("k")).filter("k > 1").select("sig")
-    mine = members.join(alike, "sig", "left_semi")
-    whole = mine.withColumnsRenamed({"doc_id": "x"}).join(mine.withColumnsRenamed({"doc_id": "y"}), "sig").filter("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    every = across.unionByName(whole).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return every.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    across = sizes.join(lists.withColumnsRenamed({"sig": "s1", "ids": "xs"}), "s1").join(lists.withColumnsRenamed({"sig": "s2", "ids": "ys"}), "s2")
+    across = across.select("jaccard", "ys", F.explode("xs").alias("x")).select("jaccard", "x", F.explode("ys").alias("y")).filter("x <> y")
+    whole = lists.filter(F.size("ids") > 1).select(F.posexplode("ids").alias("k", "x"), "ids")
+    whole = whole.select(F.lit(1.0).alias("jaccard"), "x", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("y"))
+    every = across.unionByName(whole).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
+    # only a doc_id with several sets can be in a pair more than once
+    several = members.groupBy("doc_id").agg(F.count_distinct("sig").alias("k")).filter("k > 1")
+    return every if several.isEmpty() else every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -176,7 +176,7 @@ def _phrase(name: str, phrase: str) -> None:
         return search.index_phrase(_postings(docs), docs, phrase)
 
 
-PHRASES = {"phrase_search": "tion", "phrase_search_repeated_trigram": "....", "phrase_search_nonascii": "é d", "phrase_search_missing_term": "qzxjq", "phrase_search_newline": ".\nT"}
+PHRASES = {"phrase_search": "tion", "phrase_search_repeated_trigram": "llll", "phrase_search_nonascii": "é d", "phrase_search_missing_term": "qzxjq", "phrase_search_newline": ".\nT"}
 for _name, _text in PHRASES.items():
     _phrase(_name, _text)
 
@@ -234,9 +234,9 @@ def file_search(spark, sf_dir):
     return search.files(corpus.document(spark, sf_dir), "1/en/")
 
 
-@query("select page_id as doc_id, url as filename from pages where contains(url, 'news')")
+@query("select page_id as doc_id, url as filename from pages where contains(url, '/fr/')")
 def file_search_pages(spark, sf_dir):
-    return search.files(corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("filename")), "news")
+    return search.files(corpus.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("filename")), "/fr/")
 
 
 # ---- symbols, packages, systems -----------------------------------------------------------------

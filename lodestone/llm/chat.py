@@ -120,17 +120,23 @@ def loss_mask(n_chars: int, targets: list[tuple[int, int]]) -> np.ndarray:
 
 
 def sql() -> str:
-    """``spans`` in DuckDB SQL for ``conversations`` with distinct (conv_id, turn).
-
-    Each template's spans follow from lengths.  A shared edge between an addition and
-    what follows it moves the span right, which only ``closed`` could show: its turns
-    begin with a bracket and its end with an angle, so there is none.
-    """
-    return """
-    with m as (select conv_id, turn, role, coalesce(length(role), 0) as r, coalesce(length(text), 0) as n, coalesce(text, '') as body,
-                      row_number() over (partition by conv_id order by turn) as k from conversations),
-    t as (select *, sum(r + n + 13) over w as tagged_end, sum(r + n + 4) over w as closed_end, sum(r + n + 13) over (partition by conv_id) as tagged_all, sum(r + n + 4) over (partition by conv_id) as closed_all
-          from m window w as (partition by conv_id order by turn rows unbounded preceding))
-    select 'tagged' as template, conv_id, turn, role, cast(tagged_end - r - n - 13 as integer) as start, cast(tagged_end as integer) as end, role = 'assistant' as is_target, false as rewrites, cast(tagged_all as integer) as n_chars from t
-    union all
-    select 'closed', conv_id, turn, role, cast(6 + closed_end - r - n - 4 as integer), cast(6 + closed_end as integer), role = 'assistant', false, cast(13 + closed_all as integer) from t"""
+    """``spans`` in DuckDB SQL over ``conversations``: every prefix is rendered, and
+    neighbours are compared character by character from either end."""
+    differ = "coalesce(nullif(list_position(list_transform(range(1, least(len({0}), len({1})) + 1), lambda i: {0}[i] <> {1}[i]), true), 0) - 1, least(len({0}), len({1})))"
+    return f"""
+    with m as (select conv_id, turn, role, coalesce(role, '') as r, coalesce(text, '') as c, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k from conversations),
+    prefix as (select conv_id, k from m union all select distinct conv_id, 0 from m),
+    part as (select p.conv_id, p.k as n, m.k, r, c, max(case when r = 'assistant' then m.k end) over (partition by p.conv_id, p.k) as last from prefix p left join m on p.conv_id is not distinct from m.conv_id and m.k <= p.k),
+    o as (select conv_id, n, coalesce(string_agg('<|' || r || '|>' || chr(10) || c || '<|end|>' || chr(10), '' order by k), '') as tagged, '<chat>' || coalesce(string_agg('[' || r || '] ' || c || chr(10), '' order by k), '') || '</chat>' as closed,
+        coalesce(string_agg('<|' || r || '|>' || chr(10) || case when r <> 'assistant' or k = last then c else '...' end || '<|end|>' || chr(10), '' order by k), '') as recent from part group by conv_id, n),
+    every as (select 'tagged' as template, conv_id, n, string_split(tagged, '') as a from o union all select 'closed', conv_id, n, string_split(closed, '') from o union all select 'recent', conv_id, n, string_split(recent, '') from o),
+    clean as (select template, conv_id, n, case when a = [''] then [] else a end as a from every),
+    pair as (select *, lag(a) over (partition by template, conv_id order by n) as b from clean),
+    begun as (select *, {differ.format("b", "a")} as s from pair where n > 0),
+    rest as (select *, list_reverse(b[s + 1 :]) as y, list_reverse(a[s + 1 :]) as x from begun),
+    step as (select template, conv_id, n, len(a) as size, s, len(b) as before, {differ.format("y", "x")} as tail from rest),
+    found as (select template, conv_id, n, s, size - tail as e, s + tail < before as rewrites, last_value(size) over (partition by template, conv_id order by n rows between unbounded preceding and unbounded following) as n_chars,
+        min(case when s + tail < before then s end) over (partition by template, conv_id order by n rows between 1 following and unbounded following) as changed from step)
+    select template, f.conv_id, turn, role, cast(case when changed is null or e <= changed then s end as integer) as start, cast(case when changed is null or e <= changed then e end as integer) as "end",
+        coalesce(role = 'assistant', false) as is_target, rewrites, cast(n_chars as integer) as n_chars
+    from found f join m on f.conv_id is not distinct from m.conv_id and f.n = m.k"""

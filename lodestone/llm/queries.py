@@ -57,4 +57,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_toxicity, op3_langid, op4_syncmers, op5_chat_spans, op6_decontaminate, op7_line_dedup, op8_bpe, op9_ngram_join, op10_html_text)
 }
-ORACLE_SQL = {"op7_line_dedup": line_dedup.sql(), "op9_ngram_join": ngram_join.sql()}
+ORACLE_SQL = {"op5_chat_spans": chat.sql(), "op7_line_dedup": line_dedup.sql(), "op9_ngram_join": ngram_join.sql()}

@@ -12,13 +12,13 @@ in a bounded sample of labelled rows, so other languages need no list of their o
 from __future__ import annotations
 
 import math
-import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,53 +157,69 @@ def toxicity(docs: DataFrame, lexicon=None, threshold: float = THRESHOLD, text:
 
 # ---- learning stems from labelled rows ---------------------------------------------------------
 
-_WORD_RE = re.compile(r"[^\W\d_]+")
+#: Of a labelled row: whether it is toxic, its group (near copies share their least word hash) and its different words.
+Labelled = tuple[int, int, list[str]]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str, int]]:
-    """At most so many toxic and clean labelled texts, lower-cased, the same ones each time."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> pa.Table:
+    """(toxic, group, words) of at most so many toxic and clean labelled texts, the same ones
+    each time, ordered by toxic and group.  Words are made where the texts are."""
     marked = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     some = marked.filter("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(marked.filter("toxic = 0").orderBy(order, "doc_id").limit(most_clean))
     # at most MOST_TOXIC + MOST_CLEAN ids, so this side is safe to broadcast at any size of the corpus
-    rows = docs.select("doc_id", F.lower("text").alias("text")).filter("text is not null").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    return [(r["text"], r["toxic"]) for r in rows.orderBy(order, "doc_id").limit(most_toxic + most_clean).select("text", "toxic").toArrow().to_pylist()]
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    rows = rows.select("doc_id", "toxic", F.array_sort(words).alias("words")).filter(F.size("words") > 0)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.toxic", "r.words")
+    group = F.array_min(F.transform("words", lambda w: F.xxhash64(w)))
+    return rows.select("toxic", group.alias("group"), "words").orderBy("toxic", "group", "words").toArrow()
 
 
-def learn(sample: list[tuple[str, int]], shortest: int = 4, longest: int = 10, alpha: float = 0.01, known=None) -> tuple[tuple[str, float, bool], ...]:
+def rows_of(sample: pa.Table) -> Iterator[Labelled]:
+    """The rows of a sample one by one; only one is held as Python strings at a time."""
+    for batch in sample.to_batches(max_chunksize=256):
+        yield from zip(*(batch.column(k).to_pylist() for k in range(3)))
+
+
+def _groups(rows: Iterable[Labelled]) -> Iterator[tuple[int, set[str]]]:
+    """(toxic, words) of each group of near copies; rows come ordered by toxic and group."""
+    for (toxic_, _), some in groupby(rows, key=lambda r: r[:2]):
+        yield toxic_, set().union(*(r[2] for r in some))
+
+
+def learn(sample: Callable[[], Iterable[Labelled]], shortest: int = 4, longest: int = 10, alpha: float = 0.01, known=None) -> tuple[tuple[str, float, bool], ...]:
     """The curated lexicon and the stems that mark toxic texts of the sample.
 
     A stem is a beginning of words that toxic texts have far more often than clean
     ones: 20 times as often, and by chance with probability ``alpha`` over all the
-    beginnings tried.  Near copies count once: support is the number of different
-    least word hashes.  Of beginnings with one support the longest stays, and of
-    those, what extends another goes.  A curated entry that at least three clean
-    texts have, and toxic ones hardly more often, is dropped.
+    beginnings tried.  Near copies count once: support is the number of groups.  Of
+    beginnings with one support the longest stays, and of those, what extends another
+    goes.  A curated entry that at least three clean groups have, and toxic ones hardly
+    more often, is dropped.  ``sample`` gives the rows anew each time it is called.
     """
     known = tuple(known if known is not None else default_lexicon())
     curated = {w for w, _, _ in known}
-    texts: dict[int, list[tuple[int, set[str]]]] = {0: [], 1: []}
-    for text, toxic_ in sample:
-        if ws := set(_WORD_RE.findall(text)):
-            texts[toxic_].append((min(map(xxhash.xxh64_intdigest, ws)), ws))
-    t, c = (len({group for group, _ in texts[k]}) for k in (1, 0))
-    if not t or not c:
-        return known
-    found: dict[int, dict[str, set[int]]] = {0: defaultdict(set), 1: defaultdict(set)}
-    for group, ws in texts[1]:
-        for p in {w[:k] for w in ws for k in range(shortest, min(longest, len(w)) + 1)} | ws & curated:
-            found[1][p].add(group)
-    tried = {p for p, own in found[1].items() if len(own) >= 5}
+    size: Counter[int] = Counter()
+    found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+    for _, ws in _groups(r for r in sample() if r[0] == 1):
+        size[1] += 1
+        found[1].update({w[:k] for w in ws for k in range(shortest, min(longest, len(w)) + 1)} | ws & curated)
+    tried = {p for p, n in found[1].items() if n >= 5}
+    found[1] = Counter({p: n for p, n in found[1].items() if p in tried or p in curated})
     roots = {p[:shortest] for p in tried}
-    for group, ws in texts[0]:
+    for _, ws in _groups(r for r in sample() if r[0] == 0):
+        size[0] += 1
         some = [w for w in ws if w[:shortest] in roots]
-        for p in {w[:k] for w in some for k in range(shortest, min(longest, len(w)) + 1)} & tried | ws & curated:
-            found[0][p].add(group)
+        found[0].update({w[:k] for w in some for k in range(shortest, min(longest, len(w)) + 1)} & tried | ws & curated)
+    t, c = size[1], size[0]
+    if not t or not c:
+        return known
 
     def odds(p: str) -> float:
-        return (len(found[1].get(p, ())) + 0.5) / (t + 1) / ((len(found[0].get(p, ())) + 0.5) / (c + 1))
+        return (found[1][p] + 0.5) / (t + 1) / ((found[0][p] + 0.5) / (c + 1))
 
-    good = {p: len(found[1][p]) for p in tried if odds(p) >= 20 and math.erfc(math.sqrt(_g(len(found[1][p]), len(found[0].get(p, ())), t, c) / 2)) * len(tried) < alpha}
+    good = {p: found[1][p] for p in sorted(tried) if odds(p) >= 20 and math.erfc(math.sqrt(_g(found[1][p], found[0][p], t, c) / 2)) * len(tried) < alpha}
     longer: dict[str, list[str]] = defaultdict(list)
     for p in good:
         longer[p[:-1]].append(p)
@@ -212,7 +228,7 @@ def learn(sample: list[tuple[str, int]], shortest: int = 4, longest: int = 10, a
     for p in sorted(closed, key=lambda p: (len(p), p)):
         if not any(p.startswith(w) for w, _, _ in stems) and not any(w.startswith(p) for w in curated):
             stems.append((p, round(min(2.0, max(1.0, math.log(odds(p)) / 4)), 3), False))
-    return tuple(e for e in known if len(found[0].get(e[0], ())) < 3 or odds(e[0]) >= 3) + tuple(stems)
+    return tuple(e for e in known if found[0][e[0]] < 3 or odds(e[0]) >= 3) + tuple(stems)
 
 
 def _g(a: int, b: int, t: int, c: int) -> float:
@@ -226,4 +242,5 @@ def _g(a: int, b: int, t: int, c: int) -> float:
 
 def trained_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[tuple[str, float, bool], ...]:
     """``learn`` on the bounded sample; the curated list alone where nothing is labelled."""
-    return learn(labelled_sample(docs, labels))
+    sample = labelled_sample(docs, labels)
+    return learn(lambda: rows_of(sample))

@@ -152,7 +152,7 @@ def _prefixes(texts: DataFrame, n: int, t: float, often) -> DataFrame:
             for _, size, key, _, _, _, p, poff in _grouped(batch.column(0), n, t, often.value):
                 some = np.unique(key, return_index=True)[1]
                 some = some[size[some] > 0]
-                grams = pa.ListArray.from_arrays(pa.array(poff.astype(np.int32)), pa.array(p.view(np.int64)))
+                grams = pa.ListArray.from_arrays(pa.array(poff.astype(np.int32)), pa.array((p & _HASH).view(np.int64)))  # the size class has done its work
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[some]), pa.array(size[some].astype(np.int32)), grams.take(pa.array(some))], ["g", "size", "grams"])
 
     return texts.mapInArrow(run, "g bigint, size int, grams array<bigint>")

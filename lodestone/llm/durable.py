@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -21,16 +22,31 @@ def folder(df: DataFrame) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _freeing(df: DataFrame) -> Iterator[None]:
+    """Shuffle files of what runs inside go as soon as it is done: the table that it
+    makes is in the checkpoint folder then, and nothing goes back before that."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed and written to the checkpoint folder, which all executors share."""
     folder(df)
-    return df.checkpoint()
+    with _freeing(df):
+        return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the checkpoint folder, and read again; for whole tables."""
     path = f"{folder(df)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _freeing(df):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

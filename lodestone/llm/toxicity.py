@@ -170,8 +170,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     # at most MOST_TOXIC + MOST_CLEAN ids, so this side is safe to broadcast at any size of the corpus
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    rows = rows.select("doc_id", "toxic", F.array_sort(words).alias("words")).filter(F.size("words") > 0)
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.toxic", "r.words")
+    rows = rows.select("doc_id", "toxic", F.array_sort(words).alias("words"))
+    # rows without words go after this, as a filter on words would move to the scan and make them of every text
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.toxic", "r.words").filter(F.size("words") > 0)
     group = F.array_min(F.transform("words", lambda w: F.xxhash64(w)))
     return rows.select("toxic", group.alias("group"), "words").orderBy("toxic", "group", "words").toArrow()
 

@@ -21,10 +21,22 @@ from . import textcore as tc
 
 #: 1: the word counts; 0: it may differ.  Six words each.
 MASKS = ("11101011", "1100110101", "1010010111", "11011000101")
+#: For items of fewer than SHORT words.  A best segment with LEAST_SEGMENT matches begins with
+#: two at least and has a run of three; if no run is longer, one mismatch parts some run of three
+#: from the next run.  So one of these lies in it.
+SHORT_MASKS = ("1111", "11101", "10111")
+SHORT = 13
 #: A segment of a diagonal is kept while matches outweigh mismatches by this factor.
 MISMATCH = 2.0
-#: Least matching words in a segment, for it to count at all.
+#: Least matching words in a segment, for it to count at all; shorter items match as a whole.
 LEAST_SEGMENT = 5
+#: All masks with the least and the most words of the items that they are for: those of fewer
+#: than LEAST_SEGMENT words are hashed whole.
+_USES = (
+    *((m, SHORT, 1 << 62) for m in MASKS),
+    *((m, LEAST_SEGMENT, SHORT - 1) for m in SHORT_MASKS),
+    *(("1" * n, n, n) for n in range(1, LEAST_SEGMENT)),
+)
 #: A document is contaminated by an item from so many of the item's words on, or this share if that is less.
 LEAST_WORDS, LEAST_SHARE = 12, 0.6
 #: A benchmark of more characters is taken in slices of about that many, each a pass over the corpus.
@@ -38,12 +50,15 @@ class Index:
         data, off = tc.buffers(pa.array(texts, pa.large_string()))
         h, _, _, first = tc.words(data, off)
         self.ids, self.words, self.first = ids, h, first
-        found = [(seeds(h, m), m) for m in range(len(MASKS))]
-        hashes, item, pos = [], [], []
-        for g, m in found:
+        size = np.diff(first)
+        self.masks = [m for m, (_, least, most) in enumerate(_USES) if ((size >= least) & (size <= most)).any()]
+        hashes, item, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m in self.masks:
+            mask, least, most = _USES[m]
+            g = seeds(h, m)
             p = np.arange(len(g))
             i = np.searchsorted(first, p, side="right") - 1
-            ok = p + len(MASKS[m]) <= first[i + 1]
+            ok = (p + len(mask) <= first[i + 1]) & (size[i] >= least) & (size[i] <= most)
             hashes.append(g[ok])
             item.append(i[ok])
             pos.append((p - first[i])[ok])
@@ -58,7 +73,7 @@ class Index:
 
 def seeds(h: np.ndarray, m: int) -> np.ndarray:
     """The hash under mask ``m`` from each word on."""
-    mask = MASKS[m]
+    mask = _USES[m][0]
     n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -78,6 +93,25 @@ def best_segment(same: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def _likely(hits: np.ndarray, index: Index, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``hits`` without those of short items whose diagonal has too few matches; of an item
+    that matches as a whole only the first in each text stays."""
+    size = np.diff(index.first)[hits[:, 1]]
+    short = np.flatnonzero(size < SHORT)
+    keep = np.ones(len(hits), bool)
+    k = np.arange(SHORT - 1)
+    for at in np.array_split(short, len(short) // 65_536 + 1):
+        r, i, d = hits[at].T
+        p, q = d[:, None] + k, index.first[i][:, None] + k
+        inside = (k < size[at][:, None]) & (p >= first[r][:, None]) & (p < first[r + 1][:, None])
+        same = inside & (h[np.where(inside, p, 0)] == index.words[np.where(inside, q, 0)])
+        keep[at] = same.sum(1) >= np.minimum(LEAST_SEGMENT, size[at])
+    whole = np.flatnonzero(keep & (size < LEAST_SEGMENT))
+    again = (hits[whole[1:], :2] == hits[whole[:-1], :2]).all(1)
+    keep[whole[1:][again]] = False
+    return hits[keep]
+
+
 def overlaps(arr: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, matching words, words of the item, first word in the text) of each
     text and item that overlap enough."""
@@ -87,7 +121,7 @@ def overlaps(arr: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
     for lo, hi in tc.blocks(off):
         h, _, _, first = tc.words(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         at, to = [], []
-        for m in range(len(MASKS)):
+        for m in index.masks:
             g = seeds(h, m)
             p = np.flatnonzero(index.table[(g >> index.shift).astype(np.int64)])
             left, right = np.searchsorted(index.hashes, g[p]), np.searchsorted(index.hashes, g[p], side="right")
@@ -99,6 +133,7 @@ def overlaps(arr: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
         row = np.searchsorted(first, at, side="right") - 1
         item, diagonal = index.item[to], at - index.pos[to]
         hits = np.unique(np.stack([row, item, diagonal], 1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
+        hits = _likely(hits, index, h, first)
         covered: dict[tuple[int, int], tuple[set[int], int]] = {}
         for r, i, d in hits.tolist():
             w = index.words[index.first[i] : index.first[i + 1]]
@@ -108,7 +143,7 @@ def overlaps(arr: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
             same = w[a:b] == h[d + a : d + b]
             x, y = best_segment(same)
             good = np.flatnonzero(same[x:y]) + x + a
-            if len(good) < LEAST_SEGMENT:
+            if len(good) < min(LEAST_SEGMENT, len(w)):
                 continue
             begin = int(d + a + x - first[r])
             own, seen = covered.get((r, i), (set(), begin))
@@ -141,8 +176,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     the first word of the overlap in the document.
 
     Words are lower-cased and punctuation is ignored.  Null, empty and wordless texts
-    and items have no overlap, nor have items too short for every mask (8 words); null
-    ids pass through; repeated rows and repeated items each give rows; with an empty
+    and items have no overlap; items of fewer than LEAST_SEGMENT words match where all of
+    them occur in a row; null ids pass through; repeated rows and repeated items each give rows; with an empty
     table on either side the result is empty.  Other columns are ignored.
     """
     spark = docs.sparkSession

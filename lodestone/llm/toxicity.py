@@ -7,6 +7,7 @@ divided by the length in words.
 
 The lexicon is a curated list of English insults plus stems that ``learn`` finds
 in a bounded sample of labelled rows, so other languages need no list of their own.
+Entries and labelled words are folded like the texts, whatever their script.
 """
 
 from __future__ import annotations
@@ -78,10 +79,11 @@ def default_lexicon() -> tuple[tuple[str, float, bool], ...]:
 def _automaton(lexicon: tuple[tuple[str, float, bool], ...], exceptions: tuple[str, ...]) -> ahocorasick.Automaton:
     a, found = ahocorasick.Automaton(), {}
     for w, x, whole in lexicon:
+        w = fold(w)  # as the texts are
         if w not in found or found[w][0] < x:
             found[w] = (x, whole)
     for w in exceptions:
-        found[w] = (0.0, True)
+        found[fold(w)] = (0.0, True)
     for w, (x, whole) in found.items():
         a.add_word(" " + w, (len(w), x, whole))
     if found:
@@ -157,6 +159,8 @@ def toxicity(docs: DataFrame, lexicon=None, threshold: float = THRESHOLD, text:
 
 # ---- learning stems from labelled rows ---------------------------------------------------------
 
+#: Letters, and the digits and signs that fold() makes letters of.
+_SIGNS = r"([\p{L}" + "".join(chr(c) for c, to in _FOLD.items() if to.isalpha() and not chr(c).isalpha()) + "]+)"
 #: Of a labelled row: whether it is toxic, its group (near copies share their least word hash) and its different words.
 Labelled = tuple[int, int, list[str]]
 
@@ -169,7 +173,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_T
     some = marked.filter("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).unionByName(marked.filter("toxic = 0").orderBy(order, "doc_id").limit(most_clean))
     # at most MOST_TOXIC + MOST_CLEAN ids, so this side is safe to broadcast at any size of the corpus
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_SIGNS), F.lit(1)))
+    words = F.filter(words, lambda w: w.rlike(r"\p{L}"))
     rows = rows.select("doc_id", "toxic", F.array_sort(words).alias("words"))
     # rows without words go after this, as a filter on words would move to the scan and make them of every text
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("r")).select("r.toxic", "r.words").filter(F.size("words") > 0)
@@ -184,9 +189,9 @@ def rows_of(sample: pa.Table) -> Iterator[Labelled]:
 
 
 def _groups(rows: Iterable[Labelled]) -> Iterator[tuple[int, set[str]]]:
-    """(toxic, words) of each group of near copies; rows come ordered by toxic and group."""
+    """(toxic, folded words) of each group of near copies; rows come ordered by toxic and group."""
     for (toxic_, _), some in groupby(rows, key=lambda r: r[:2]):
-        yield toxic_, set().union(*(r[2] for r in some))
+        yield toxic_, set(fold(" ".join(set().union(*(r[2] for r in some)))).split())
 
 
 def learn(sample: Callable[[], Iterable[Labelled]], shortest: int = 4, longest: int = 10, alpha: float = 0.01, known=None) -> tuple[tuple[str, float, bool], ...]:
@@ -199,7 +204,7 @@ def learn(sample: Callable[[], Iterable[Labelled]], shortest: int = 4, longest:
     goes.  A curated entry that at least three clean groups have, and toxic ones hardly
     more often, is dropped.  ``sample`` gives the rows anew each time it is called.
     """
-    known = tuple(known if known is not None else default_lexicon())
+    known = tuple((fold(w), x, whole) for w, x, whole in (known if known is not None else default_lexicon()))
     curated = {w for w, _, _ in known}
     size: Counter[int] = Counter()
     found: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}

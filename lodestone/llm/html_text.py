@@ -82,15 +82,47 @@ def classify(tree: tuple, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S | re.I)
+#: What hides its text up to its end: only comments, scripts and styles run to the end of the page without one.
+_RAW = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(textarea|iframe|noscript)\b[^>]*+>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>|<!\[CDATA\[(?:(?!<!\[CDATA\[).)*?\]\]>",
+    re.S | re.I,
+)
+_NESTED = re.compile(r"<(/?)(svg|template|select)\b[^>]*>", re.I)
+#: The head with what may be in it; its end tag is optional, and any other tag or text ends it.
+_HEAD = re.compile(r"<head(?=[\s/>])[^>]*+>(?:\s++|<title\b[^>]*+>[^<]*+(?:<(?!/?title\b)[^<]*+)*+</title\s*>|</?(?:title|meta|link|base|script|style|noscript|template)\b[^>]*+>|<[!?][^>]*+>)*+(?:</head\s*>)?", re.I)
+_TITLES = re.compile(r"<title\b[^>]*+>[^<]*+(?:<(?!/?title\b)[^<]*+)*+</title\s*>", re.I)
 _TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 
 
+def _visible(page: str) -> str:
+    """The page without what isn't shown as text; an element that isn't closed loses its tag only."""
+    page = _RAW.sub(" ", page)
+    opened: dict[str, list[int]] = {}
+    spans: list[tuple[int, int]] = []
+    for m in _NESTED.finditer(page):
+        name = m[2].lower()
+        if not m[1]:
+            if not (name == "svg" and m[0].endswith("/>")):
+                opened.setdefault(name, []).append(m.start())
+        elif opened.get(name):
+            start = opened[name].pop()
+            while spans and spans[-1][0] >= start:
+                spans.pop()
+            spans.append((start, m.end()))
+    parts, at = [], 0
+    for a, b in spans:
+        if b > at:
+            parts += [page[at : max(at, a)], " "]
+            at = b
+    page, heads = _HEAD.subn(" ", "".join(parts) + page[at:])
+    return _TITLES.sub(" ", page) if heads else page
+
+
 def blocks(page: str) -> list[tuple[str, int, float]]:
     """(text, words, link density) of the page's text blocks, in order; none is empty."""
-    page = _DROP.sub(" ", page)
+    page = _visible(page)
     out: list[tuple[str, int, float]] = []
     parts: list[str] = []
     linked, depth, at = 0, 0, 0
@@ -148,7 +180,8 @@ def extract(pages: DataFrame, tree: tuple | None = None, page_id: str = "page_id
 
     A null page has null title and text and no blocks; an empty one, or one without text,
     an empty text; broken markup is read as far as it goes: a tag that isn't closed is
-    text, a script that isn't runs to the end.  Null ids and urls pass through; repeated
+    text; a script, style or comment that isn't runs to the end; of other elements only
+    the tag goes, and a head ends where something comes that can't be in it.  Null ids and urls pass through; repeated
     rows each give a row; an empty table gives an empty one; other columns are ignored.
     """
     grown = tree or default_tree()

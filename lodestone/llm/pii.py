@@ -60,7 +60,8 @@ def _ipv4(s: str) -> float:
 
 def _phone(s: str) -> float:
     n = sum(c.isdigit() for c in s)
-    return 0.0 if not 7 <= n <= 15 else 0.7 if s[0] == "+" else 0.55 if "(" in s else 0.35
+    # a long run after a plus is E.164, more so than a card number by chance of its check digit
+    return 0.0 if not 7 <= n <= 15 else (0.8 if re.search(r"\d{8}", s) else 0.7) if s[0] == "+" else 0.55 if "(" in s else 0.35
 
 
 def _ssn(s: str) -> float:
@@ -86,7 +87,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str], float], frozenset, frozenset]
         ("card", r"(?<![\d.])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)", _card, "card visa mastercard amex credit debit payment karte carte tarjeta cvv", "isbn tracking order serial sku invoice"),
         ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban, "iban account bank konto compte cuenta", ""),
         ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4, "ip address host server client login adresse", "version release build section chapter firmware"),
-        ("phone", r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)", _phone, "call phone tel telephone mobile fax cell whatsapp telefon téléphone teléfono", "isbn order version page pages invoice id"),
+        ("phone", r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{5,12}|\(\d{2,4}\)[ .-]?\d{5,10}|(?<!\d,)\d{7,15})(?![\w-]|\.\d)", _phone, "call phone tel telephone mobile fax cell whatsapp telefon téléphone teléfono", "isbn order version page pages invoice id"),
         ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn, "ssn social security", "order part model"),
         ("secret", r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b\"?\s*[:=]\s*[\"']?([A-Za-z0-9_+/=.-]{12,})", _secret, "", "example placeholder"),
     )

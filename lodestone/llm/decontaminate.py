@@ -93,6 +93,20 @@ def best_segment(same: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def segments(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """All ranges with ``least`` matches or more: the best one, and then on both sides of it."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        a, b = todo.pop()
+        if np.count_nonzero(same[a:b]) < least:
+            continue
+        x, y = best_segment(same[a:b])
+        if np.count_nonzero(same[a + x : a + y]) >= least:
+            out.append((a + x, a + y))
+        todo += [(a, a + x), (a + y, b)]
+    return out
+
+
 def _likely(hits: np.ndarray, index: Index, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """``hits`` without those of short items whose diagonal has too few matches; of an item
     that matches as a whole only the first in each text stays."""
@@ -141,13 +155,13 @@ def overlaps(arr: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int,
             if b <= a:
                 continue
             same = w[a:b] == h[d + a : d + b]
-            x, y = best_segment(same)
-            good = np.flatnonzero(same[x:y]) + x + a
-            if len(good) < min(LEAST_SEGMENT, len(w)):
+            found = segments(same, min(LEAST_SEGMENT, len(w)))
+            if not found:
                 continue
-            begin = int(d + a + x - first[r])
+            good = [k + a for x, y in found for k in (np.flatnonzero(same[x:y]) + x).tolist()]
+            begin = int(d + a + min(x for x, _ in found) - first[r])
             own, seen = covered.get((r, i), (set(), begin))
-            covered[r, i] = (own | set(good.tolist()), min(seen, begin))
+            covered[r, i] = (own | set(good), min(seen, begin))
         for (r, i), (own, begin) in sorted(covered.items()):
             size = int(index.first[i + 1] - index.first[i])
             if len(own) >= min(LEAST_WORDS, math.ceil(LEAST_SHARE * size)):

@@ -5,16 +5,21 @@ n-grams among the first ``size - ceil(t * size) + L`` of each, in any one order.
 
 1. ``frequencies``: how often n-grams occur, over all texts, in a row of counters.  It
    only orders n-grams, rare ones first; any order is correct.
-2. ``_prefixes``: each text's prefix.  Texts with the same prefix and size are one
-   group, so exact copies meet as one entry however many they are.
+2. ``_entries``: each text's prefix.  Texts with the same prefix and size are one
+   group, so exact copies meet as one entry however many they are.  Entries travel
+   packed, a few hundred to a row.
 3. Groups that share L prefix n-grams and whose sizes allow t are candidates, found in
    one shuffle by n-gram, one sorted sweep over each partition and one sum.
 4. ``_verified``: candidates expand to the different sets of their groups.  Each set
    travels once to the least neighbour of a clique, not once for each pair, and
-   intersections are counted exactly; pairs of sets then expand to documents.
+   intersections are counted exactly.  Where many sets meet at one neighbour they are
+   spread over blocks of bounded size, and each pair is checked in one block.
+5. A block answers with a row a set: how many rows it is similar to there, and the least
+   set that it is connected with.  So links are counted one by one, but neither pairs of
+   copies nor pairs of sets ever travel.
 
 An n-gram is 54 bits, its size class and 46 of its hash, which leaves ten bits for the
-row: one sort of a block orders all its sets.
+row: one sort of a block orders all its sets.  Sets are known by 64-bit signatures.
 """
 
 from __future__ import annotations
@@ -47,6 +52,15 @@ BROADCAST_KEYS = 4_000_000
 DROP_ROWS = 1_000_000
 #: Prefix n-grams that one task sweeps.
 SWEEP_ROWS = 3_000_000
+#: Prefix n-grams that are packed, and swept, at a time.
+AT_ONCE = 1 << 20
+#: n-grams of the sets that meet in one block of a neighbour; a block holds about twice as many.
+BLOCK_GRAMS = 1 << 20
+#: A set that this share of all rows has, or more, is joined by broadcast: no more than 1000 sets are.
+HOT_SHARE = 1000
+#: A prefix n-gram as it travels, in the bucket of its upper 14 bits: the others, the group in 40 bits, and the size, up to a limit.
+_ENTRY = np.dtype([("gram", "<u4"), ("g", "<u4"), ("top", "u1"), ("size", "<u2")])
+_MOST = 65535
 #: Pairs that one sweep step holds at most.
 STEP = 1 << 20
 
@@ -144,18 +158,47 @@ def _grouped(arr: pa.Array, n: int, t: float, often: np.ndarray) -> Iterator[tup
         yield a, size, key, _signature(g, off), g, off, p, poff
 
 
-def _prefixes(texts: DataFrame, n: int, t: float, often) -> DataFrame:
-    """(g, size, grams): the group key, size and prefix of each text that has n-grams."""
+def _binaries(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Row k holds the bytes of data[off[k] : off[k + 1]]; no Python object a row."""
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * data.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _entries(texts: DataFrame, n: int, t: float, often) -> DataFrame:
+    """(bucket, entries): the prefixes' n-grams with group and size, packed by bucket."""
+
+    def pack(key: list[np.ndarray], groups: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        k = np.concatenate(key)
+        k.sort()
+        g, size = np.concatenate(groups), np.concatenate(sizes)
+        at = (k & np.uint64((1 << 18) - 1)).astype(np.int64)
+        e = np.empty(len(k), _ENTRY)
+        e["gram"] = (k >> np.uint64(18)).astype(np.uint32)
+        e["g"], e["top"], e["size"] = g[at] & np.uint64(0xFFFFFFFF), g[at] >> np.uint64(32), np.minimum(size[at], _MOST)
+        bucket = (k >> np.uint64(50)).astype(np.int32)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), _binaries(e, np.append(begin, len(e))).cast(pa.binary())], ["bucket", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, groups, sizes, rows, held = [], [], [], 0, 0
         for batch in batches:
-            for _, size, key, _, _, _, p, poff in _grouped(batch.column(0), n, t, often.value):
-                some = np.unique(key, return_index=True)[1]
+            for _, size, g, _, _, _, p, poff in _grouped(batch.column(0), n, t, often.value):
+                some = np.unique(g, return_index=True)[1]
                 some = some[size[some] > 0]
-                grams = pa.ListArray.from_arrays(pa.array(poff.astype(np.int32)), pa.array((p & _HASH).view(np.int64)))  # the size class has done its work
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[some]), pa.array(size[some].astype(np.int32)), grams.take(pa.array(some))], ["g", "size", "grams"])
+                no = np.full(len(size), -1, np.int64)
+                no[some] = np.arange(len(some)) + rows
+                row = np.repeat(no, np.diff(poff))
+                p, row = p[row >= 0], row[row >= 0]
+                key.append((p & _HASH) << np.uint64(18) | row.astype(np.uint64))  # the size class has done its work
+                groups.append(g[some])
+                sizes.append(size[some])
+                rows, held = rows + len(some), held + len(p)
+                if held and (held >= AT_ONCE or rows > (1 << 18) - ROWS):
+                    yield pack(key, groups, sizes)
+                    key, groups, sizes, rows, held = [], [], [], 0, 0
+        if held:
+            yield pack(key, groups, sizes)
 
-    return texts.mapInArrow(run, "g bigint, size int, grams array<bigint>")
+    return texts.mapInArrow(run, "bucket int, entries binary")
 
 
 def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,7 +213,7 @@ def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float)
     end = np.append(np.flatnonzero(new)[1:], len(gram))[run]
     # in a run the partners of k are those after it, up to the size that is too large
     key = run.astype(np.int64) * (1 << 32)
-    last = np.minimum(end, np.searchsorted(key + size, key + np.floor(size / t + 1e-9).astype(np.int64), side="right"))
+    last = np.minimum(end, np.searchsorted(key + size, key + np.minimum(_MOST, np.floor(size / t + 1e-9)).astype(np.int64), side="right"))
     many = np.maximum(last - np.arange(len(gram)) - 1, 0)
     total = np.cumsum(many)
     a = 0
@@ -187,10 +230,12 @@ def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float)
         a = b
 
 
-def _candidates(prefixes: DataFrame, t: float, tasks: int) -> DataFrame:
+def _candidates(entries: DataFrame, t: float, tasks: int) -> DataFrame:
     """(g1, g2) of groups that share enough prefix n-grams; g1 = g2 isn't among them."""
 
     def out(gram: np.ndarray, g: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(gram, kind="stable")
+        gram, g, size = gram[order], g[order], size[order]
         lone = np.ones(len(gram), bool)
         same = gram[1:] == gram[:-1]
         lone[1:] &= ~same
@@ -198,29 +243,42 @@ def _candidates(prefixes: DataFrame, t: float, tasks: int) -> DataFrame:
         gram, g, size = gram[~lone], g[~lone], size[~lone]
         if not len(gram):
             return
+        order = np.lexsort((g, size, gram))
+        gram, g, size = gram[order], g[order], size[order]
         once = np.ones(len(gram), bool)  # copies in one run are one entry
         once[1:] = (gram[1:] != gram[:-1]) | (g[1:] != g[:-1])
         for x, y, k in _pairs_of_runs(gram[once], g[once], size[once], t):
             x, y, k = _summed(x, y, k)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(k.astype(np.int32))], ["g1", "g2", "k"])
 
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        data, off = tc.buffers(batch.column(1))
+        e = data.view(_ENTRY)
+        bucket = np.repeat(batch.column(0).to_numpy().astype(np.uint64), np.diff(off) // _ENTRY.itemsize)
+        return [bucket << np.uint64(32) | e["gram"], e["g"].astype(np.int64) | e["top"].astype(np.int64) << 32, e["size"].astype(np.int64)]
+
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, enough = [], 0, AT_ONCE
         for batch in batches:
-            held.append([batch.column(k).to_numpy() for k in range(3)])
-            rows += batch.num_rows
-            if rows >= 1_000_000:
+            held.append(columns(batch))
+            rows += len(held[-1][0])
+            if rows >= enough:
                 gram, g, size = (np.concatenate(x) for x in zip(*held))
-                cut = int(np.searchsorted(gram, gram[-1]))
+                cut = int(np.searchsorted(gram >> np.uint64(32), gram[-1] >> np.uint64(32)))
                 if cut:
                     yield from out(gram[:cut], g[:cut], size[:cut])
+                else:  # one bucket fills it: each group is needed once for each n-gram
+                    order = np.lexsort((g, gram))
+                    gram, g, size = gram[order], g[order], size[order]
+                    new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (g[1:] != g[:-1])])
+                    gram, g, size = gram[new], g[new], size[new]
                 held, rows = [[gram[cut:], g[cut:], size[cut:]]], len(gram) - cut
+                enough = max(AT_ONCE, 2 * rows)
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held)))
 
-    flat = prefixes.select(F.explode("grams").alias("gram"), "g", "size")
-    placed = flat.repartition(tasks, "gram").sortWithinPartitions("gram", "size", "g")
-    pairs = placed.select("gram", "g", "size").mapInArrow(sweep, "g1 bigint, g2 bigint, k int")
+    placed = entries.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    pairs = placed.mapInArrow(sweep, "g1 bigint, g2 bigint, k int")
     return pairs.groupBy("g1", "g2").agg(F.sum("k").alias("k")).filter(F.col("k") >= SHARED).select("g1", "g2")
 
 
@@ -233,23 +291,26 @@ def _summed(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np
     return x[at], y[at], np.add.reduceat(k, at) if len(at) else k
 
 
-def _members(docs: DataFrame, n: int, t: float, often, keys: str) -> DataFrame:
-    """(key columns, g, sig) of each text that has n-grams; its columns are the text and the keys."""
+def _members(docs: DataFrame, n: int, t: float, often) -> DataFrame:
+    """(doc_id, t, g, sig, size) of each row of (text, doc_id, t); a text without n-grams has no g and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, size, key, sig, _, _, _, _ in _grouped(batch.column(0), n, t, often.value):
-                some = pa.array(np.flatnonzero(size > 0))
-                yield pa.RecordBatch.from_arrays([c.slice(a, len(size)).take(some) for c in batch.columns[1:]] + [pa.array(key.view(np.int64)).take(some), pa.array(sig.view(np.int64)).take(some)], batch.schema.names[1:] + ["g", "sig"])
+                none = size == 0
+                yield pa.RecordBatch.from_arrays(
+                    [c.slice(a, len(size)) for c in batch.columns[1:]] + [pa.array(key.view(np.int64), mask=none), pa.array(sig.view(np.int64), mask=none), pa.array(size.astype(np.int32))],
+                    ["doc_id", "t", "g", "sig", "size"],
+                )
 
-    return docs.mapInArrow(run, f"{keys}, g bigint, sig bigint")
+    return docs.mapInArrow(run, "doc_id bigint, t bigint, g bigint, sig bigint, size int")
 
 
 def _sets_of(texts: DataFrame, n: int, t: float, often, wanted) -> DataFrame:
-    """(g, sig, grams): the whole sets, of the groups in ``wanted`` or of all; once per set and task block."""
+    """(g, sig, grams): the whole sets, of the groups in ``wanted`` or of all; once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = wanted.value if wanted else None
+        keys, seen = wanted.value if wanted else None, np.zeros(0, np.int64)
         for batch in batches:
             for _, size, key, sig, g, off, _, _ in _grouped(batch.column(0), n, t, often.value):
                 key, sig = key.view(np.int64), sig.view(np.int64)
@@ -258,8 +319,14 @@ def _sets_of(texts: DataFrame, n: int, t: float, often, wanted) -> DataFrame:
                 if keys is not None and len(some):
                     at = np.minimum(np.searchsorted(keys, key[some]), len(keys) - 1)
                     some = some[keys[at] == key[some]] if len(keys) else some[:0]
-                raw = g.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(sig[some]), pa.array([raw[8 * off[k] : 8 * off[k + 1]] for k in some], pa.binary())], ["g", "sig", "grams"])
+                if len(some):
+                    at = np.searchsorted(seen, sig[some])
+                    known = at < len(seen)
+                    known[known] = seen[at[known]] == sig[some][known]
+                    some, at = some[~known], at[~known]
+                    seen = np.insert(seen, at, sig[some])
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(sig[some]), _binaries(g, off).take(pa.array(some)).cast(pa.binary())], ["g", "sig", "grams"])
 
     return texts.mapInArrow(run, "g bigint, sig bigint, grams binary")
 
@@ -272,90 +339,164 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
 
 
-def set_pairs(docs: DataFrame, keys: str, n: int = N, t: float = THRESHOLD, broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs) of a table of lower-cased texts, its first column, and keys of
-    the schema ``keys``: members (keys, g, sig) of all texts with n-grams, and pairs
-    (s1, s2, overlap, size1, size2) of different sets at a similarity of t at least."""
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.lower(F.col(text)).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("t"))
+
+
+def _similar(docs: DataFrame, n: int, t: float, broadcast_keys: int, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, names, found) of a table (lower-cased text, doc_id, t): members
+    (doc_id, t, g, sig, size) of all rows, names (g, sig, size, copies, first) of all
+    different sets, and what ``_verified`` finds."""
     spark = docs.sparkSession
-    texts = docs.select(docs.columns[0])
+    texts = docs.select("text")
     classes, seen = frequencies(texts, n)
     often = spark.sparkContext.broadcast(classes)
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(seen * (1 - t) / SWEEP_ROWS))
-    members = checkpointed(_members(docs, n, t, often, keys))
-    between = _candidates(_prefixes(texts, n, t, often), t, tasks)
-    names = members.select("g", "sig").distinct()
+    members = checkpointed(_members(docs, n, t, often))
+    between = _candidates(_entries(texts, n, t, often), t, tasks)
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    names = checkpointed(members.filter("sig is not null").groupBy("g", "sig").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min(row).alias("first")))
     within = names.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     candidates = checkpointed(between.unionByName(within))
     wanted_keys = candidates.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
     few = wanted_keys.count() <= broadcast_keys
     wanted = spark.sparkContext.broadcast(np.sort(wanted_keys.toArrow().column(0).to_numpy())) if few else None
-    found = _sets_of(texts, n, t, often, wanted)
+    sets_ = _sets_of(texts, n, t, often, wanted)
     if not few:
-        found = found.join(wanted_keys, "g", "left_semi")
-    found = found.groupBy("sig").agg(F.first("grams").alias("grams"))
-    sigs = candidates.join(names.withColumnsRenamed({"g": "g1", "sig": "x"}), "g1").join(names.withColumnsRenamed({"g": "g2", "sig": "y"}), "g2")
-    sigs = sigs.filter("g1 <> g2 or x < y").select(F.least("x", "y").alias("s1"), F.greatest("x", "y").alias("s2"))
-    return members, _verified(sigs, found, t)
-
-
-def _verified(sigs: DataFrame, found: DataFrame, t: float) -> DataFrame:
-    """(s1, s2, overlap, size1, size2) of the pairs of sets at a similarity of t at least.
+        sets_ = sets_.join(wanted_keys, "g", "left_semi")
+    one = lambda k: names.select(F.col("g").alias(f"g{k}"), F.col("sig").alias(f"x{k}"), F.col("size").alias(f"n{k}"))
+    sigs = candidates.join(one(1), "g1").join(one(2), "g2").filter("g1 <> g2 or x1 < x2")
+    sigs = sigs.filter(F.least("n1", "n2") >= t * F.greatest("n1", "n2") - 1e-9)
+    swap = F.col("x1") > F.col("x2")
+    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    sigs = sigs.select(pick("x1", "x2").alias("s1"), pick("x2", "x1").alias("s2"), pick("n1", "n2").alias("n1"), pick("n2", "n1").alias("n2"))
+    sets_ = sets_.groupBy("sig").agg(F.first("grams").alias("grams")).join(names.select("sig", "copies"), "sig")
+    return members, names, _verified(sigs, sets_, t, pairs)
+
+
+def _verified(sigs: DataFrame, sets_: DataFrame, t: float, pairs: bool) -> DataFrame:
+    """Of the pairs (s1, s2, n1, n2) of sets with n1 and n2 n-grams, those at a similarity
+    of t at least: (s1, s2, overlap, size1, size2), or a row (sig, links, root) for each
+    set and block with the rows that it is similar to and the least set that it is
+    connected with there.
 
     A pair is checked at the least neighbour of its lesser set, where the sets of all
-    pairs that meet there come once each, ahead of the pairs.
+    pairs that meet there come once each, ahead of the pairs.  A neighbour where many
+    meet is several blocks: its sets fall in parts, and each two parts are a block.
     """
 
+    def block(here: dict, todo: list[tuple[int, int]]) -> list[tuple]:
+        good, links, root = [], {}, {}
+
+        def top(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root.setdefault(up, up)
+            return x
+
+        for x, y in todo:
+            (a, na), (b, nb) = here[x], here[y]
+            o = _overlap(a, b)
+            if o >= t * (len(a) + len(b) - o) - 1e-9:
+                if pairs:
+                    good.append((x, y, o, len(a), len(b)))
+                    continue
+                links[x], links[y] = links.get(x, 0) + nb, links.get(y, 0) + na
+                p, q = top(x), top(y)
+                root[max(p, q)] = min(p, q)
+        return good if pairs else [(x, k, top(x)) for x, k in links.items()]
+
+    kinds = [pa.int64()] * 2 + [pa.int32()] * 3 if pairs else [pa.int64()] * 3
+    names = ["s1", "s2", "overlap", "size1", "size2"] if pairs else ["sig", "links", "root"]
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, here = None, {}
+        at, here, todo, rows = None, {}, [], []
+
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            homes, xs, ys, grams = (batch.column(k) for k in range(4))
-            for k, (at, x, y) in enumerate(zip(homes.to_pylist(), xs.to_pylist(), ys.to_pylist())):
-                if at != home:
-                    home, here = at, {}
+            grams = batch.column(5)
+            for k, (*own, x, y, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 6)))):
+                if own != at:
+                    rows += block(here, todo)
+                    at, here, todo = own, {}, []
+                    if len(rows) >= 10_000:
+                        yield flush(rows)
+                        rows = []
                 if y is None:
-                    here[x] = np.frombuffer(grams[k].as_py(), np.uint64)
-                    continue
-                a, b = here[x], here[y]
-                if min(len(a), len(b)) < t * max(len(a), len(b)) - 1e-9:
-                    continue
-                o = _overlap(a, b)
-                if o >= t * (len(a) + len(b) - o) - 1e-9:
-                    rows.append((x, y, o, len(a), len(b)))
-            cols = [list(c) for c in zip(*rows)] if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 3)], ["s1", "s2", "overlap", "size1", "size2"])
+                    here[x] = np.frombuffer(grams[k].as_py(), np.uint64), copies
+                else:
+                    todo.append((x, y))
+        rows += block(here, todo)
+        if rows:
+            yield flush(rows)
 
     near = sigs.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(sigs.select(F.col("s2").alias("s"), F.col("s1").alias("o")))
     least = near.groupBy("s").agg(F.least("s", F.min("o")).alias("home")).withColumnRenamed("s", "s1")
-    homed = checkpointed(sigs.join(least, "s1").select("home", "s1", "s2"))
-    travel = homed.select("home", F.explode(F.array("s1", "s2")).alias("sig")).distinct().join(found, "sig")
+    homed = checkpointed(sigs.join(least, "s1").select("home", "s1", "s2", "n1", "n2"))
+    meet = homed.select("home", F.explode(F.array(F.struct(F.col("s1").alias("s"), F.col("n1").alias("n")), F.struct(F.col("s2").alias("s"), F.col("n2").alias("n")))).alias("x")).distinct()
+    parts = meet.groupBy("home").agg(F.ceil(F.sum("x.n") / BLOCK_GRAMS).cast("int").alias("parts"))
+    part = lambda s: F.pmod(F.hash(s), F.col("parts"))
+    placed = homed.join(parts, "home").select("home", F.least(part("s1"), part("s2")).alias("i"), F.greatest(part("s1"), part("s2")).alias("j"), "s1", "s2")
+    travel = placed.select("home", "i", "j", F.explode(F.array("s1", "s2")).alias("sig")).distinct().join(sets_, "sig")
     none = F.lit(None)
-    rows = travel.select("home", F.col("sig").alias("x"), none.cast("bigint").alias("y"), "grams").unionByName(homed.select("home", F.col("s1").alias("x"), F.col("s2").alias("y"), none.cast("binary").alias("grams")))
-    return rows.repartition("home").sortWithinPartitions("home", F.col("y").asc_nulls_first()).mapInArrow(check, "s1 bigint, s2 bigint, overlap int, size1 int, size2 int")
+    rows = travel.select("home", "i", "j", F.col("sig").alias("x"), none.cast("bigint").alias("y"), "grams", "copies")
+    rows = rows.unionByName(placed.select("home", "i", "j", F.col("s1").alias("x"), F.col("s2").alias("y"), none.cast("binary").alias("grams"), none.cast("bigint").alias("copies")))
+    schema = "s1 bigint, s2 bigint, overlap int, size1 int, size2 int" if pairs else "sig bigint, links bigint, root bigint"
+    return rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", F.col("y").asc_nulls_first()).mapInArrow(check, schema)
 
 
-def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """(doc_a, doc_b, jaccard) of all pairs doc_a < doc_b with a similarity of t at least.
+def pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set) of every row, and (set_a, set_b, jaccard) of all pairs set_a < set_b of
+    different sets of n-grams with a similarity of t at least.
+
+    Documents with the same set are copies of each other.  A null text, an empty one or
+    one without words has a null set and no partner; null doc_ids pass through; repeated
+    rows each give a row; very long texts are taken whole; an empty table gives empty
+    ones.  Other columns are ignored.
+    """
+    members, _, found = _similar(_keyed(docs, text, doc_id), n, t, broadcast_keys, True)
+    jaccard = F.round(F.col("overlap") / (F.col("size1") + F.col("size2") - F.col("overlap")), 6)
+    return members.select("doc_id", F.col("sig").alias("set")), found.select(F.col("s1").alias("set_a"), F.col("s2").alias("set_b"), jaccard.alias("jaccard"))
+
+
+def _classed(docs: DataFrame, n: int, t: float, broadcast_keys: int) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): the rows of a table (lower-cased text, doc_id, t), and of each
+    different set (sig, n_links, first): the other rows that are similar to one that has it,
+    and the first row of its class."""
+    members, names, found = _similar(docs, n, t, broadcast_keys)
+    tied = checkpointed(found)
+    root = clusters(tied.filter("sig <> root").select("sig", "root"), "sig", "root")
+    links = tied.groupBy(F.col("sig").alias("tied_sig")).agg(F.sum("links").alias("links"))
+    sets_ = names.join(links, names["sig"] == links["tied_sig"], "left").join(root, names["sig"] == root["node"], "left")
+    sets_ = checkpointed(sets_.select("sig", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "sig").alias("root"), "first"))
+    first = sets_.groupBy("root").agg(F.min("first").alias("first"))
+    return members, sets_.drop("first").join(first, "root").select("sig", "copies", "n_links", "first")
+
+
+def _with_sets(members: DataFrame, sets_: DataFrame) -> DataFrame:
+    """Rows with what is known of their sets; sets that very many rows have come by broadcast."""
+    sets_ = checkpointed(sets_)
+    least = max(HOT_SHARE, members.count() / HOT_SHARE)
+    hot = F.broadcast(sets_.filter(F.col("copies") >= least))
+    rest = members.join(hot.select("sig"), "sig", "left_anti").join(sets_, "sig")
+    return members.join(hot, "sig").unionByName(rest)
 
-    Words are lower-cased.  A text of fewer than n words has one n-gram, all of it; a
-    null text, an empty one or one without words has none and no partner.  Rows with a
-    null doc_id can't be named and take no part; a repeated doc_id isn't paired with
-    itself, and of repeated rows each pair comes once, with its largest similarity; an
-    empty table gives an empty result.  Other columns are ignored.
+
+def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the least doc_id of its class, and the
+    number of other rows at a similarity of t at least, exact copies and others.
+
+    A class is a connected component of such pairs.  Words are lower-cased.  A text of
+    fewer than n words has one n-gram, all of it; a null text, an empty one or one without
+    words has none, no links and a class of its own.  A null doc_id passes through, and is
+    a class's id only if all its doc_ids are null; repeated rows are copies, each with a
+    row; very long texts are taken whole; an empty table gives an empty result.  Other
+    columns are ignored.
     """
-    keyed = docs.filter(F.col(doc_id).isNotNull()).select(F.lower(F.col(text)).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"))
-    members, pairs = set_pairs(keyed, "doc_id bigint", n, t, broadcast_keys)
-    # documents travel as lists, one for each set, and come apart where the pairs are returned
-    lists = checkpointed(members.groupBy("sig").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")))
-    sizes = pairs.select("s1", "s2", (F.col("overlap") / (F.col("size1") + F.col("size2") - F.col("overlap"))).alias("jaccard"))
-    across = sizes.join(lists.withColumnsRenamed({"sig": "s1", "ids": "xs"}), "s1").join(lists.withColumnsRenamed({"sig": "s2", "ids": "ys"}), "s2")
-    across = across.select("jaccard", "ys", F.explode("xs").alias("x")).select("jaccard", "x", F.explode("ys").alias("y")).filter("x <> y")
-    whole = lists.filter(F.size("ids") > 1).select(F.posexplode("ids").alias("k", "x"), "ids")
-    whole = whole.select(F.lit(1.0).alias("jaccard"), "x", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("y"))
-    every = across.unionByName(whole).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"))
-    # only a doc_id with several sets can be in a pair more than once
-    several = members.groupBy("doc_id").agg(F.count_distinct("sig").alias("k")).filter("k > 1")
-    return every if several.isEmpty() else every.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    members, sets_ = _classed(_keyed(docs, text, doc_id), n, t, broadcast_keys)
+    alone = members.filter("sig is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return _with_sets(members.filter("sig is not null"), sets_).select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links").unionByName(alone)
 
 
 def clusters(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -384,18 +525,14 @@ def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "
     with the least doc_id stays (nulls last, then the least hash of the text; of rows
     with the same doc_id and text one).  Rows whose text is null or has no words are in no group and all stay.
     """
-    keyed = docs.select(F.lower(F.col(text)).alias("text"), F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("t"))
-    members, pairs = set_pairs(keyed, "doc_id bigint, t bigint", n, t)
-    root = clusters(pairs.select("s1", "s2"), "s1", "s2")
-    placed = members.join(root, members["sig"] == root["node"], "left").select("doc_id", "t", F.coalesce("root", "sig").alias("root"))
-    alone = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
-    placed = checkpointed(placed.groupBy("root", "doc_id", "t").agg(F.count("*").alias("k")))
-    first = placed.groupBy("root").agg(F.min(alone).alias("first"))
-    drop = checkpointed(placed.join(first, "root").filter(~alone.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_t")))
+    members, sets_ = _classed(_keyed(docs, text, doc_id), n, t, BROADCAST_KEYS)
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    placed = checkpointed(_with_sets(members.filter("sig is not null"), sets_).filter("n_links > 0").select("doc_id", "t", row.eqNullSafe(F.col("first")).alias("stays")))
+    drop = checkpointed(placed.filter("not stays").select(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_t")).distinct())
     small = drop.count() <= DROP_ROWS
     here = lambda other, i, h: docs[doc_id].cast("bigint").eqNullSafe(other[i]) & (F.xxhash64(docs[text]) == other[h])
     left = docs.join(F.broadcast(drop) if small else drop, here(drop, "drop_id", "drop_t"), "left_anti")
-    again = placed.filter("k > 1").select(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t"))
+    again = placed.filter("stays").groupBy(F.col("doc_id").alias("again_id"), F.col("t").alias("again_t")).agg(F.count("*").alias("k")).filter("k > 1").drop("k")
     if again.isEmpty():
         return left
     here = lambda other, i, h: left[doc_id].cast("bigint").eqNullSafe(other[i]) & (F.xxhash64(left[text]) == other[h])
@@ -406,9 +543,11 @@ def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "
 def sql(n: int = N, t: float = THRESHOLD) -> str:
     """``near_duplicates`` in DuckDB SQL over ``documents`` with distinct doc_ids."""
     return f"""
-    with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-/:-`{{-\\x7f\\x{{80}}-\\x{{a9}}\\x{{ab}}-\\x{{b4}}\\x{{b6}}-\\x{{b9}}\\x{{bb}}-\\x{{bf}}\\x{{2000}}-\\x{{207f}}\\x{{3000}}-\\x{{303f}}]+'), lambda x: x <> '') as ws from documents),
+    with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-/:-`{{-\\x7f\\x{{80}}-\\x{{a9}}\\x{{ab}}-\\x{{b4}}\\x{{b6}}-\\x{{b9}}\\x{{bb}}-\\x{{bf}}\\x{{2000}}-\\x{{207f}}\\x{{3000}}-\\x{{303f}}]+'), lambda x: x <> '') as ws from documents),
     g as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < {n} then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i : i + {n - 1}], ' ')) end) as gram from w),
     k as (select doc_id, count(*) as size from g group by doc_id),
-    o as (select x.doc_id as doc_a, y.doc_id as doc_b, count(*) as common from g x join g y on x.gram = y.gram and x.doc_id < y.doc_id group by all)
-    select doc_a, doc_b, round(common / (a.size + b.size - common), 6) as jaccard from o join k a on a.doc_id = doc_a join k b on b.doc_id = doc_b
-    where common >= {t} * (a.size + b.size - common) - 1e-9"""
+    o as (select x.doc_id as doc_a, y.doc_id as doc_b, count(*) as common from g x join g y on x.gram = y.gram and x.doc_id < y.doc_id group by all),
+    p as materialized (select doc_a, doc_b from o join k a on a.doc_id = doc_a join k b on b.doc_id = doc_b where common >= {t} * (a.size + b.size - common) - 1e-9),
+    e as materialized (select doc_a as x, doc_b as y from p union all select doc_b, doc_a from p),
+    reach as (select doc_id as x, doc_id as y from documents union select reach.x, e.y from reach join e on reach.y = e.x)
+    select doc_id, class_id, coalesce(n_links, 0) as n_links from (select x as doc_id, min(y) as class_id from reach group by x) left join (select x as doc_id, count(*) as n_links from e group by x) using (doc_id)"""

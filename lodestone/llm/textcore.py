@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes handled at a time; bounds the temporaries at about 40 bytes a byte.
-BLOCK_BYTES = 2 << 20
+#: Text bytes handled at a time, in blocks of whole texts; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
+#: Bytes whose powers and running sums are held at a time, however long a text is.
+PIECE_BYTES = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C55 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _pow = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
@@ -106,9 +108,16 @@ def words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     start[cut] = True
     end[cut] |= m[cut - 1]
     s, e = np.flatnonzero(start), np.flatnonzero(end)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _powers("p", n), out=c[1:])
-    h = mix((c[e] - c[s]) * _powers("i", n)[s] + (e - s).astype(np.uint64))
+    h = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + PIECE_BYTES, side="right")))
+        at, span = s[i], e[j - 1] - s[i]
+        c = np.zeros(span + 1, np.uint64)
+        np.cumsum(_BYTE[b[at : at + span]] * _powers("p", span), out=c[1:])
+        x, y = s[i:j] - at, e[i:j] - at
+        h[i:j] = mix((c[y] - c[x]) * _powers("i", span)[x] + (y - x).astype(np.uint64))
+        i = j
     return h, s, e, np.searchsorted(s, off)
 
 

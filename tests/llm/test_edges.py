@@ -107,10 +107,12 @@ def test_bpe(spark, edge, empty):
 
 
 def test_ngram_join(edge, empty):
-    pairs = sorted(map(tuple, ngram_join.near_duplicates(edge).collect()))
-    assert pairs == [(1, 2, 1.0), (6, 7, 1.0)]
+    classes = sorted(map(tuple, ngram_join.near_duplicates(edge).collect()), key=str)
+    assert classes == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1), (8, 8, 0), (9, 9, 0), (None, 1, 3)]
     assert ngram_join.near_duplicates(empty).count() == 0
-    assert sorted(map(tuple, ngram_join.near_duplicates(edge, broadcast_keys=0).collect())) == pairs
+    assert sorted(map(tuple, ngram_join.near_duplicates(edge, broadcast_keys=0).collect()), key=str) == classes
+    named, pairs = ngram_join.pairs(edge)
+    assert named.count() == 11 and named.filter("set is null").count() == 4 and pairs.count() == 0
     kept = ngram_join.one_of_each(edge)
     assert kept.columns == edge.columns
     assert sorted((r["doc_id"] or 0) for r in kept.select("doc_id").collect()) == [1, 3, 4, 5, 6, 8, 9]

@@ -324,7 +324,12 @@ def test_pairs_agree_with_brute_force(spark):
         grams[k] = {tuple(ws[i : i + 3]) for i in range(len(ws) - 2)} or {tuple(ws)}
     want = {(a, b) for a in grams for b in grams if a < b and len(grams[a] & grams[b]) >= 0.5 * len(grams[a] | grams[b]) - 1e-9}
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {(x["doc_a"], x["doc_b"]): x["jaccard"] for x in ngram_join.near_duplicates(df).collect()}
+    named, pairs = ngram_join.pairs(df)
+    sets = {}
+    for x in named.collect():
+        sets.setdefault(x["set"], []).append(x["doc_id"])
+    got = {(min(a, b), max(a, b)): x["jaccard"] for x in pairs.collect() for a in sets[x["set_a"]] for b in sets[x["set_b"]]}
+    got |= {(a, b): 1.0 for ids in sets.values() for a in ids for b in ids if a < b}
     assert set(got) == want
     assert all(math.isclose(j, len(grams[a] & grams[b]) / len(grams[a] | grams[b]), abs_tol=1e-6) for (a, b), j in got.items())
     parent = {k: k for k in grams}
@@ -337,12 +342,26 @@ def test_pairs_agree_with_brute_force(spark):
     for a, b in want:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert {x["doc_id"] for x in ngram_join.one_of_each(df).collect()} == {root(k) for k in grams}
+    links = {k: sum(k in p for p in want) for k in grams}
+    assert sorted(tuple(x) for x in ngram_join.near_duplicates(df).collect()) == sorted((k, root(k), links[k]) for k in grams)
 
 
-def test_a_doc_id_with_several_texts_is_paired_once(spark):
+def test_links_are_counted_in_blocks_and_for_hot_sets(spark, monkeypatch):
+    r = random.Random(3)
+    base = [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(f"x{k}" if j == k % 60 else w for j, w in enumerate(base))) for k in range(40)]
+    rows += [(100 + k, " ".join(base)) for k in range(1200)] + [(5000 + k, " ".join(f"u{r.randint(0, 9**9)}" for _ in range(40))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 200)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 500)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.near_duplicates(df).collect()}
+    assert got == {i: (0, 1239) if i < 5000 else (i, 0) for i, _ in rows}
+
+
+def test_a_doc_id_with_several_texts_has_a_row_for_each(spark):
     a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
-    df = spark.createDataFrame([(1, a), (1, b), (2, a), (2, b)], "doc_id bigint, text string")
-    assert [tuple(r) for r in ngram_join.near_duplicates(df).collect()] == [(1, 2, 1.0)]
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (2, b), (3, None), (None, "x y z")], "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(df).collect()), key=str) == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 3, 0), (None, None, 0)]
 
 
 # ---- HTML ---------------------------------------------------------------------------------------

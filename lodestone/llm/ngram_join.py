@@ -54,8 +54,8 @@ DROP_ROWS = 1_000_000
 SWEEP_ROWS = 3_000_000
 #: Prefix n-grams that are packed, and swept, at a time.
 AT_ONCE = 1 << 20
-#: n-grams of the sets that meet in one block of a neighbour; a block holds about twice as many.
-BLOCK_GRAMS = 1 << 20
+#: n-grams of the sets, and sets, that meet in one block of a neighbour; a block holds about twice as many.
+BLOCK_GRAMS, BLOCK_SETS = 1 << 20, 1024
 #: A set that this share of all rows has, or more, is joined by broadcast: no more than 1000 sets are.
 HOT_SHARE = 1000
 #: A prefix n-gram as it travels, in the bucket of its upper 14 bits: the others, the group in 40 bits, and the size, up to a limit.
@@ -435,7 +435,7 @@ def _verified(sigs: DataFrame, sets_: DataFrame, t: float, pairs: bool) -> DataF
     least = near.groupBy("s").agg(F.least("s", F.min("o")).alias("home")).withColumnRenamed("s", "s1")
     homed = checkpointed(sigs.join(least, "s1").select("home", "s1", "s2", "n1", "n2"))
     meet = homed.select("home", F.explode(F.array(F.struct(F.col("s1").alias("s"), F.col("n1").alias("n")), F.struct(F.col("s2").alias("s"), F.col("n2").alias("n")))).alias("x")).distinct()
-    parts = meet.groupBy("home").agg(F.ceil(F.sum("x.n") / BLOCK_GRAMS).cast("int").alias("parts"))
+    parts = meet.groupBy("home").agg(F.ceil(F.greatest(F.sum("x.n") / BLOCK_GRAMS, F.count("*") / BLOCK_SETS)).cast("int").alias("parts"))
     part = lambda s: F.pmod(F.hash(s), F.col("parts"))
     placed = homed.join(parts, "home").select("home", F.least(part("s1"), part("s2")).alias("i"), F.greatest(part("s1"), part("s2")).alias("j"), "s1", "s2")
     travel = placed.select("home", "i", "j", F.explode(F.array("s1", "s2")).alias("sig")).distinct().join(sets_, "sig")

@@ -82,50 +82,134 @@ def classify(tree: tuple, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-#: What hides its text up to its end: only comments, scripts and styles run to the end of the page without one.
-_RAW = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(textarea|iframe|noscript)\b[^>]*+>[^<]*+(?:<(?!/?\2\b)[^<]*+)*+</\2\s*>|<!\[CDATA\[(?:(?!<!\[CDATA\[).)*?\]\]>",
-    re.S | re.I,
-)
-_NESTED = re.compile(r"<(/?)(svg|template|select)\b[^>]*>", re.I)
-#: The head with what may be in it; its end tag is optional, and any other tag or text ends it.
-_HEAD = re.compile(r"<head(?=[\s/>])[^>]*+>(?:\s++|<title\b[^>]*+>[^<]*+(?:<(?!/?title\b)[^<]*+)*+</title\s*>|</?(?:title|meta|link|base|script|style|noscript|template)\b[^>]*+>|<[!?][^>]*+>)*+(?:</head\s*>)?", re.I)
-_TITLES = re.compile(r"<title\b[^>]*+>[^<]*+(?:<(?!/?title\b)[^<]*+)*+</title\s*>", re.I)
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?/][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+#: Elements whose text is read raw, up to their end tag.  Without one, the first two run to
+#: the end of the page, and of the others only the tag goes.
+_RAW = frozenset(("script", "style", "textarea", "iframe", "noscript", "title"))
+_TO_THE_END = frozenset(("script", "style"))
+#: Elements that are hidden with all that is in them, where they are closed.
+_NESTED = frozenset(("svg", "template", "select"))
+#: What may be in a head; its end tag is optional, and any other tag or text ends it.
+_IN_HEAD = frozenset(("meta", "link", "base", "script", "style", "noscript", "template", "title", "!"))
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9]*)")
+_STOP = re.compile("[>\"']")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_WITHIN = {name: re.compile(rf"<{name}\b", re.I) for name in _RAW - _TO_THE_END}
 
 
-def _visible(page: str) -> str:
-    """The page without what isn't shown as text; an element that isn't closed loses its tag only."""
-    page = _RAW.sub(" ", page)
+class _Scanner:
+    """One pass over a page.  Whatever isn't there is looked for once, so that markup of any
+    kind takes time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.next: dict[str, int] = {}
+        self.ends: dict[str, re.Match | None] = {}
+        self.quotes = True
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` comes next, -1 for nowhere.  It is looked for again only after its last place."""
+        k = self.next.get(what, 0)
+        if 0 <= k < at or what not in self.next:
+            k = self.next[what] = self.page.find(what, at)
+        return k
+
+    def closing(self, name: str, at: int) -> re.Match | None:
+        m = self.ends.get(name)
+        if name not in self.ends or m and m.start() < at:
+            m = self.ends[name] = _END[name].search(self.page, at)
+        return m
+
+    def end_of_tag(self, at: int) -> int:
+        """After the tag's > outside quotes; if all that come are in quotes, after the first."""
+        first = self.find(">", at)
+        if first < 0 or not self.quotes:
+            return first + 1
+        k = at
+        while m := _STOP.search(self.page, k):
+            k = m.end()
+            if m[0] == ">":
+                return k
+            other = self.find(m[0], k)
+            k = other + 1 if other >= 0 else k
+        self.quotes = False  # the rest of the page has quotes in it that don't close as they should
+        return first + 1
+
+    def tokens(self) -> Iterator[tuple[str, int, int, int]]:
+        """(name, start, end, kind) of text ("", kind 0), opening and closing tags (1 and -1), and
+        what is hidden (2): comments ("!"), and raw elements by their name."""
+        page, at, text = self.page, 0, 0
+        while (i := page.find("<", at)) >= 0:
+            m = _NAME.match(page, i + 1)
+            name, kind = (m[1].lower(), -1 if page[i + 1] == "/" else 1) if m else ("", 0)
+            if m:
+                end = self.end_of_tag(m.end())
+                if kind == 1 and name in _RAW and end and not (name not in _TO_THE_END and page[end - 2] == "/"):
+                    close = self.closing(name, end)
+                    again = name in _WITHIN and close and _WITHIN[name].search(page, end, close.start())
+                    if close and not again:
+                        end, kind = close.end(), 2
+                    elif name in _TO_THE_END:
+                        end, kind = len(page), 2
+            elif page.startswith("!--", i + 1):
+                close = self.find("-->", i + 4)
+                end, name, kind = close + 3 if close >= 0 else len(page), "!", 2
+            elif page.startswith("![CDATA[", i + 1) and (close := self.find("]]>", i + 9)) >= 0:
+                end, name, kind = close + 3, "!", 2
+            elif page[i + 1 : i + 2] in ("!", "/", "?"):
+                end, name = self.find(">", i + 1) + 1, "?"
+            else:
+                end = 0
+            if not end:  # no tag: a sign as any other
+                at = i + 1
+                continue
+            if i > text:
+                yield "", text, i, 0
+            yield name, i, end, kind
+            at = text = end
+        if text < len(page):
+            yield "", text, len(page), 0
+
+
+def _visible(page: str) -> Iterator[tuple[str, int, int, int]]:
+    """The tokens of what is shown; each part that isn't is one of kind 2."""
+    found = list(_Scanner(page).tokens())
+    hidden: list[tuple[int, int]] = []
     opened: dict[str, list[int]] = {}
-    spans: list[tuple[int, int]] = []
-    for m in _NESTED.finditer(page):
-        name = m[2].lower()
-        if not m[1]:
-            if not (name == "svg" and m[0].endswith("/>")):
-                opened.setdefault(name, []).append(m.start())
-        elif opened.get(name):
+    for k, (name, a, b, kind) in enumerate(found):
+        if name in _NESTED and kind == 1 and not (name == "svg" and page[b - 2] == "/"):
+            opened.setdefault(name, []).append(k)
+        elif name in _NESTED and kind == -1 and opened.get(name):
             start = opened[name].pop()
-            while spans and spans[-1][0] >= start:
-                spans.pop()
-            spans.append((start, m.end()))
-    parts, at = [], 0
-    for a, b in spans:
-        if b > at:
-            parts += [page[at : max(at, a)], " "]
-            at = b
-    page, heads = _HEAD.subn(" ", "".join(parts) + page[at:])
-    return _TITLES.sub(" ", page) if heads else page
+            while hidden and hidden[-1][0] >= start:
+                hidden.pop()
+            hidden.append((start, k + 1))
+    spans, k, head = iter(hidden), 0, False
+    gone = next(spans, None)
+    while k < len(found):
+        while gone and gone[1] <= k:
+            gone = next(spans, None)
+        if gone and gone[0] <= k:
+            yield "!", found[k][1], found[gone[1] - 1][2], 2
+            k = gone[1]
+            continue
+        name, a, b, kind = found[k]
+        k += 1
+        if name == "head":
+            head = kind == 1
+            yield "!", a, b, 2
+        elif head and (name in _IN_HEAD or name == "?" or not name and not page[a:b].strip()):
+            yield "!", a, b, 2
+        else:
+            head = False
+            yield name, a, b, kind
 
 
 def blocks(page: str) -> list[tuple[str, int, float]]:
     """(text, words, link density) of the page's text blocks, in order; none is empty."""
-    page = _visible(page)
     out: list[tuple[str, int, float]] = []
     parts: list[str] = []
-    linked, depth, at = 0, 0, 0
+    linked, depth = 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -136,23 +220,17 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         parts.clear()
         linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        parts.append(raw)
-        if depth:
-            linked += len(raw.split())
-
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = (m[1] or "").lower()
-        if name == "a":
-            depth = 0 if m[0][1] == "/" else 1
-        elif name and name not in _INLINE:
+    for name, a, b, kind in _visible(page):
+        if kind == 2:
+            parts.append(" ")
+        elif not name:
+            parts.append(page[a:b])
+            if depth:
+                linked += len(page[a:b].split())
+        elif name == "a":
+            depth = kind == 1
+        elif name != "?" and name not in _INLINE:
             close()
-    if at < len(page):
-        add(page[at:])
     close()
     return out
 
@@ -171,8 +249,12 @@ def extract_text(page: str, tree: tuple | None = None) -> tuple[str, int, int]:
 
 
 def title(page: str) -> str | None:
-    m = _TITLE.search(page)
-    return " ".join(html.unescape(m[1]).split()) if m else None
+    """What the first title element that is closed has; null where there is none."""
+    for name, a, b, kind in _Scanner(page).tokens():
+        if name == "title" and kind == 2:
+            inner = page[_Scanner(page).end_of_tag(a + 6) : page.rindex("</", a, b)]
+            return " ".join(html.unescape(inner).split())
+    return None
 
 
 def extract(pages: DataFrame, tree: tuple | None = None, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -181,8 +263,10 @@ def extract(pages: DataFrame, tree: tuple | None = None, page_id: str = "page_id
     A null page has null title and text and no blocks; an empty one, or one without text,
     an empty text; broken markup is read as far as it goes: a tag that isn't closed is
     text; a script, style or comment that isn't runs to the end; of other elements only
-    the tag goes, and a head ends where something comes that can't be in it.  Null ids and urls pass through; repeated
-    rows each give a row; an empty table gives an empty one; other columns are ignored.
+    the tag goes, and a head ends where something comes that can't be in it.  Very long
+    pages are read whole, in time in proportion to their length.  Null ids and urls pass
+    through; repeated rows each give a row; an empty table gives an empty one; other
+    columns are ignored.
     """
     grown = tree or default_tree()
 

@@ -69,7 +69,7 @@ def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, None, None), (None, 1, "assistant", "x"), (None, 2, "assistant", None), (2, 1, "user", ""), (3, 1, "assistant", "y" * 100_000)]
     talks = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").select("*", F.lit(1).alias("template"), F.lit(1).alias("start"), F.lit(1).alias("turns"))
     found = chat.spans(talks)
-    assert found.count() == 3 * len(rows) and chat.spans(talks.limit(0)).count() == 0
+    assert found.count() == 5 * len(rows) and chat.spans(talks.limit(0)).count() == 0
 
 
 def test_decontaminate(edge, empty, bench_items):

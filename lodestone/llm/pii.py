@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from ipaddress import IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,8 @@ def _card(s: str) -> float:
 
 def _iban(s: str) -> float:
     s = s.replace(" ", "")
-    return 0.95 if _IBAN_LENGTH.get(s[:2], len(s)) == len(s) and 15 <= len(s) <= 34 and mod97(s) else 0.0
+    known = _IBAN_LENGTH.get(s[:2].upper(), len(s) if s.isupper() else 0)
+    return 0.95 if known == len(s) and 15 <= len(s) <= 34 and mod97(s) else 0.0
 
 
 def _ipv4(s: str) -> float:
@@ -58,8 +60,23 @@ def _ipv4(s: str) -> float:
     return 0.6 if all(int(x) < 256 and (x == "0" or x[0] != "0") for x in p) and p != ["0"] * 4 else 0.0
 
 
+def _ipv6(s: str) -> float:
+    """An address of few groups may be code or a time: it needs context."""
+    try:
+        one = IPv6Address(s)
+    except ValueError:
+        return 0.0
+    return 0.0 if one.is_loopback or one.is_unspecified else 0.6 if sum(map(bool, s.split(":"))) >= 4 else 0.35
+
+
+_MONTH, _DAY, _YEAR = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])", r"(?:1[5-9]|20|21)\d\d"
+_DATE = re.compile(rf"{_YEAR}([ .-])(?:{_MONTH}\1{_DAY}|{_YEAR})|(?:{_MONTH}([ .-]){_DAY}|{_DAY}([ .-]){_MONTH})(?:\2|\3){_YEAR}")
+
+
 def _phone(s: str) -> float:
     n = sum(c.isdigit() for c in s)
+    if _DATE.fullmatch(s):
+        return 0.0
     # a long run after a plus is E.164, more so than a card number by chance of its check digit
     return 0.0 if not 7 <= n <= 15 else (0.8 if re.search(r"\d{8}", s) else 0.7) if s[0] == "+" else 0.55 if "(" in s else 0.35
 
@@ -80,18 +97,26 @@ def _secret(s: str) -> float:
     return 0.7 if entropy >= 2.8 and any(c.isdigit() for c in s) else 0.0
 
 
-#: kind: pattern (the span is group 1 where there is one), validator with base score, words for, words against.
-KINDS: dict[str, tuple[re.Pattern, Callable[[str], float], frozenset, frozenset]] = {
-    kind: (re.compile(pattern), valid, frozenset(pro.split()), frozenset(con.split()))
+def _token(s: str) -> float:
+    return 0.9 if len(set(s)) >= 8 else 0.0
+
+
+#: kind, pattern (the span is group 1 where there is one), validator with base score, words for, words against.
+KINDS: tuple[tuple[str, re.Pattern, Callable[[str], float], frozenset, frozenset], ...] = tuple(
+    (kind, re.compile(pattern), valid, frozenset(pro.split()), frozenset(con.split()))
     for kind, pattern, valid, pro, con in (
         ("card", r"(?<![\d.])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)", _card, "card visa mastercard amex credit debit payment karte carte tarjeta cvv", "isbn tracking order serial sku invoice"),
-        ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban, "iban account bank konto compte cuenta", ""),
+        ("iban", r"\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?\b", _iban, "iban account bank konto compte cuenta", ""),
         ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4, "ip address host server client login adresse", "version release build section chapter firmware"),
+        ("ipv6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|(?=::))(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", _ipv6, "ip ipv6 address host server client login adresse", "version release build time"),
         ("phone", r"(?<![\w.+-])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{5,12}|\(\d{2,4}\)[ .-]?\d{5,10}|(?<!\d,)\d{7,15})(?![\w-]|\.\d)", _phone, "call phone tel telephone mobile fax cell whatsapp telefon téléphone teléfono", "isbn order version page pages invoice id"),
         ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn, "ssn social security", "order part model"),
         ("secret", r"(?i)\b(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth)\b\"?\s*[:=]\s*[\"']?([A-Za-z0-9_+/=.-]{12,})", _secret, "", "example placeholder"),
+        ("secret", r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,255}|xox[abeoprs]-[A-Za-z0-9-]{10,255}|[sr]k_live_[A-Za-z0-9]{16,255}|sk-[A-Za-z0-9_-]{20,255})(?![A-Za-z0-9_-])", _token, "", "example placeholder"),
+        ("secret", r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", _token, "", ""),
+        ("secret", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,.]|-(?!----))*(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?", lambda s: 0.95, "", ""),
     )
-}
+)
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _NEAR = re.compile(r"[^\W\d_]+")
@@ -107,7 +132,7 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int, float, frozenset, fro
             if start < at:
                 yield "email", start, domain.end(), _EMAIL[0](text[start : domain.end()]), _EMAIL[1], _EMAIL[2]
         at = text.find("@", at + 1)
-    for kind, (pattern, valid, pro, con) in KINDS.items():
+    for kind, pattern, valid, pro, con in KINDS:
         for m in pattern.finditer(text):
             a, b = m.span(1 if pattern.groups else 0)
             yield kind, a, b, valid(text[a:b]), pro, con
@@ -137,8 +162,8 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int,
 
 
 def _possible(text: Column) -> Column:
-    """Every kind has a digit or an at sign; texts without either need no closer look."""
-    return text.rlike(r"[\p{Nd}@]")
+    """Every kind has a digit or an at sign, but for some keys and addresses; texts without any need no closer look."""
+    return text.rlike(r"[\p{Nd}@]|PRIVATE KEY|A[KS]IA[A-Z]|AIza|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|k_live_|sk-|eyJ|:[A-Fa-f]{0,4}:")
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -169,7 +194,13 @@ def redact_text(text: str, threshold: float = THRESHOLD) -> str:
 
 
 def redacted(text: Column, threshold: float = THRESHOLD) -> Column:
-    """A text column with each span replaced by its kind in brackets; null stays null."""
+    """A text column with each span replaced by its kind in brackets.
+
+    A null text stays null, an empty one and any without spans stay as they are; of
+    overlapping spans the one that ``spans`` keeps is replaced; repeated rows are redacted
+    alike; an empty column gives an empty one; very long texts are redacted whole.  Other
+    columns aren't touched.
+    """
 
     @F.arrow_udf("string")
     def redact(texts: pa.Array) -> pa.Array:

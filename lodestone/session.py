@@ -1,8 +1,9 @@
-"""Sessions that can run the library's Python functions on their executors."""
+"""Sessions that can run the library's Python functions on their executors, and the folder that these share."""
 
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -24,3 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
         _sent.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, for what must outlive an executor.
+
+    It is the one that the session names in spark.checkpoint.dir.  A session that names
+    none gets a folder of its own if it runs on one machine, as in tests; on a cluster
+    that is an error, as executors would write to the driver's disk by name only.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()

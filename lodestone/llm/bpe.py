@@ -156,11 +156,10 @@ def _pieces(texts: DataFrame, chunk: int, overlap: int, pattern: str) -> DataFra
     """(key, piece, text) of (key, text): texts cut where chunks resynchronise."""
     chunks = texts.mapInArrow(_cut(chunk, overlap), "key string, no int, chunk string").repartition("key", "no")
     marks = chunks.mapInArrow(_mark(chunk, overlap, pattern), "key string, no int, head array<int>, tail array<int>")
-    follows = marks.select("key", (F.col("no") - 1).alias("no"), F.col("head").alias("next_head"))
-    joins = marks.select("key", "no", "tail").join(follows, ["key", "no"], "left")
-    joins = joins.select("key", "no", F.col("next_head").isNull().alias("last"), F.array_min(F.array_intersect("tail", "next_head")).alias("to"))
-    # a few numbers a chunk: the text itself doesn't go through the window
+    # where pre-tokens end in the overlaps: a few numbers a chunk, the text itself doesn't go through the window
     order = Window.partitionBy("key").orderBy("no")
+    joins = marks.select("key", "no", "tail", F.lead("head").over(order).alias("next_head"))
+    joins = joins.select("key", "no", F.col("next_head").isNull().alias("last"), F.array_min(F.array_intersect("tail", "next_head")).alias("to"))
     begun = joins.withColumn("since", F.lag("to").over(order))
     begun = begun.withColumn("piece", F.sum(F.when(F.col("since").isNotNull(), 1).otherwise(0)).over(order).cast("int"))
     parts = chunks.join(begun, ["key", "no"])
@@ -177,7 +176,8 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     Texts up to a chunk are encoded where they are; of longer ones, each different one
     is cut, spread and encoded once.  A null text has null tokens, 0 of them, an empty
     one an empty array, and both are exact; repeated rows each give a row; an empty
-    table gives an empty one.  Columns that aren't kept are ignored.
+    table gives an empty one.  A null id is kept as any other value; of boundaries where
+    two chunks resynchronise the first is taken.  Columns that aren't kept are ignored.
     """
     if overlap >= chunk:
         raise ValueError("the overlap must be shorter than a chunk")

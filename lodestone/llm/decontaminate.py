@@ -191,8 +191,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
     Words are lower-cased and punctuation is ignored.  Null, empty and wordless texts
     and items have no overlap; items of fewer than LEAST_SEGMENT words match where all of
-    them occur in a row; null ids pass through; repeated rows and repeated items each give rows; with an empty
-    table on either side the result is empty.  Other columns are ignored.
+    them occur in a row; null ids pass through; repeated rows and repeated items each give
+    rows, and of an item that occurs more than once in a text the first place counts; with
+    an empty table on either side the result is empty; very long texts are searched
+    whole.  Other columns are ignored.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.lower(F.col(text)).alias("text"))
@@ -224,7 +226,12 @@ def _clean(index):
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text no benchmark item contaminates."""
+    """The rows of ``docs``, all columns kept, whose text no benchmark item contaminates.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; null items
+    and an empty benchmark take nothing; an empty table gives an empty one; very long
+    texts are searched whole; columns may have any names.
+    """
     for index in indexes(docs.sparkSession, benchmark, slice_chars, item_id, item_text):
         docs = docs.filter(_clean(index)(F.lower(docs[text])))
     return docs

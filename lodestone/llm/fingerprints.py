@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
+from .durable import checkpointed
 
 #: Characters of a k-mer and of an s-mer: about 2 / (K - S + 1) of all positions are selected.
 K, S = 48, 16
@@ -76,7 +77,8 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, text: str = "text", do
     A null text, an empty one and any of fewer than k characters has no anchors and
     empty arrays; of equal s-mers at both ends and between, each k-mer that has the
     least at an edge is selected; a null doc_id passes through; repeated rows each give
-    a row; an empty table gives an empty one; other columns are ignored.
+    a row; an empty table gives an empty one; very long texts are taken whole; other
+    columns are ignored.
     """
     if not 0 < s < k:
         raise ValueError("s must be positive and less than k")
@@ -99,16 +101,28 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, text: str = "text", do
     return given.mapInArrow(run, "doc_id bigint, n_anchors int, positions array<int>, hashes array<bigint>")
 
 
+#: An anchor that this share of all places has, or more, is joined by broadcast: no more than 1000 are.
+HOT_SHARE = 1000
+
+
 def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     """(doc_a, doc_b, shift, anchors, start_a, end_a) of two tables of fingerprints: passages
     of ``left`` that occur in ``right`` ``shift`` characters further on, with ``least`` common
-    anchors at least.  Each anchor is one row with all its places until its pairs are made."""
-
-    def flat(df: DataFrame, end: str) -> DataFrame:
-        one = df.select("doc_id", F.explode(F.arrays_zip("positions", "hashes")).alias("x"))
-        return one.groupBy(F.col("x.hashes").alias("hash")).agg(F.collect_list(F.struct("doc_id", F.col("x.positions").alias("at"))).alias(end))
-
-    both = flat(left, "a").join(flat(right, "b"), "hash")
-    pairs = both.select("b", F.explode("a").alias("a")).select("a", F.explode("b").alias("b")).filter("a.doc_id <> b.doc_id")
-    pairs = pairs.select(F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), (F.col("b.at") - F.col("a.at")).alias("shift"), F.col("a.at").alias("at"))
-    return pairs.groupBy("doc_a", "doc_b", "shift").agg(F.count_distinct("at").cast("int").alias("anchors"), F.min("at").alias("start_a"), F.max("at").alias("end_a")).filter(F.col("anchors") >= least)
+    anchors at least.
+
+    Each anchor of ``left`` meets one place of ``right``, its first one by doc_id and
+    position, so a passage that any number of documents share is matched with its first
+    document, and the work grows with the anchors, not with their pairs.  A document
+    isn't matched with itself; null doc_ids can't be named and take no part; repeated
+    rows count once; documents without anchors, and empty tables, have no matches; very
+    long texts are matched whole; other columns are ignored.
+    """
+    flat = lambda df: df.filter("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("positions", "hashes")).alias("x")).select("doc_id", F.col("x.positions").alias("at"), F.col("x.hashes").alias("hash"))
+    places = flat(right)
+    first = checkpointed(places.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("b"), F.count("*").alias("n")))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(first.filter(F.col("n") >= max(HOT_SHARE, total / HOT_SHARE)))
+    mine = flat(left)
+    met = mine.join(hot.select("hash", "b"), "hash").unionByName(mine.join(hot.select("hash"), "hash", "left_anti").join(first.select("hash", "b"), "hash"))
+    pairs = met.filter(F.col("doc_id") != F.col("b.doc_id")).select(F.col("doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), (F.col("b.at") - F.col("at")).alias("shift"), "at").distinct()
+    return pairs.groupBy("doc_a", "doc_b", "shift").agg(F.count("*").cast("int").alias("anchors"), F.min("at").alias("start_a"), F.max("at").alias("end_a")).filter(F.col("anchors") >= least)

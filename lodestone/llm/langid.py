@@ -131,9 +131,16 @@ class Network:
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_each: int = ROWS_EACH) -> list[tuple[str, str]]:
-    """About ``rows_each`` (text, language) of each language, the same ones each time, and
-    never more than twice as many: rows whose hash is below what the language's count asks for."""
+def cut(text: str, windows_each: int = WINDOWS_EACH) -> list[bytes]:
+    """Up to so many windows of a text, spread over all of it."""
+    raw = text.lower().encode()
+    return [raw[at : at + WINDOW] for at in np.linspace(0, max(0, len(raw) - WINDOW), min(windows_each, max(1, len(raw) // WINDOW))).astype(int).tolist()]
+
+
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows_each: int = ROWS_EACH, windows_each: int = WINDOWS_EACH) -> list[tuple[list[bytes], str]]:
+    """(windows, language) of about ``rows_each`` rows of each language, the same ones each
+    time, and never more than twice as many: rows whose hash is below what the language's
+    count asks for.  Windows are cut where the texts are."""
     named = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, F.length(text)).alias("h"))
     # the languages there are: a handful, whatever the corpus
     counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -141,24 +148,27 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         return []
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, rows_each / n))])
     some = named.filter((F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))) < share[F.col("lang")])
-    rows = some.orderBy("h", "lang").limit(2 * rows_each * len(counts)).select("text", "lang")
-    return [(r["text"], r["lang"]) for r in rows.toArrow().to_pylist()]
+
+    @F.arrow_udf("array<binary>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        return pa.array([cut(x, windows_each) for x in texts.to_pylist()], pa.list_(pa.binary()))
+
+    rows = some.select("h", "lang", pieces("text").alias("w")).orderBy("h", "lang", "w").limit(2 * rows_each * len(counts)).select("w", "lang")
+    return [(r["w"], r["lang"]) for r in rows.toArrow().to_pylist()]
 
 
-def train(labelled: list[tuple[str, str]], windows_each: int = WINDOWS_EACH, epochs: int = EPOCHS) -> Network | None:
-    """A network of the sample's languages; of long texts, windows spread over the whole
-    text are taken.  None for an empty sample."""
+def train(labelled: list[tuple[str | list[bytes], str]], windows_each: int = WINDOWS_EACH, epochs: int = EPOCHS) -> Network | None:
+    """A network of the languages of (text or its windows, language).  None for an empty sample."""
     languages = sorted({lang for _, lang in labelled})
     if not languages:
         return None
     r, xs, ys = np.random.default_rng(3), [], []
     for text, lang in labelled:
-        raw = np.frombuffer(text.lower().encode(), np.uint8)
-        for at in np.linspace(0, max(0, len(raw) - WINDOW), min(windows_each, max(1, len(raw) // WINDOW))).astype(int):
+        for raw in cut(text, windows_each) if isinstance(text, str) else text:
             # short texts are met too: every third window is cut somewhere
             n = int(r.integers(24, WINDOW)) if r.random() < 1 / 3 else WINDOW
             x = np.zeros(WINDOW, np.uint8)
-            part = raw[at : at + n]
+            part = np.frombuffer(raw[:n], np.uint8)
             x[: len(part)] = part
             xs.append(x)
             ys.append(languages.index(lang))

@@ -20,8 +20,8 @@ from .durable import checkpointed, fresh
 MIN_SITES = 3
 #: log2 of the registers of a sketch: standard error 1.04 / sqrt(2**LG_K).
 LG_K = 9
-#: A removal list of up to so many rows is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: A removal list of up to so many bytes is broadcast; a longer one is joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
 def band(min_sites: int, lg_k: int = LG_K) -> tuple[float, float]:
@@ -66,17 +66,19 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, doc_
     return at.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone"))
 
 
-def strip_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, doc_id: str = "doc_id", text: str = "text", site: str = "source", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def strip_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, doc_id: str = "doc_id", text: str = "text", site: str = "source", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Columns n_lines, n_removed and the text that stays, beside doc_id, for every row.
 
     Lines are split at line feeds and compared lower-cased and trimmed of blanks;
     blank lines are never boilerplate.  A null text stays null with no lines; a null
     doc_id comes after all others when the line to keep is chosen; a null site is no
     site; repeated rows are treated alike, so that a line which stays in one stays
-    in its repeats; an empty table gives an empty one.  Other columns are ignored.
+    in its repeats; of a line that occurs first in several rows with one doc_id the
+    least place stays; an empty table gives an empty one; very long texts are taken
+    whole.  Other columns are ignored.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(site).alias("source"))
-    joined, gone, stays = _with_removals(given, min_sites, lg_k, "doc_id", "text", "source", broadcast_rows)
+    joined, gone, stays = _with_removals(given, min_sites, lg_k, "doc_id", "text", "source", broadcast_bytes)
     return joined.select(
         "doc_id",
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
@@ -85,11 +87,12 @@ def strip_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, d
     )
 
 
-def _with_removals(docs: DataFrame, min_sites: int, lg_k: int, doc_id: str, text: str, site: str, broadcast_rows: int) -> tuple[DataFrame, Column, Column]:
+def _with_removals(docs: DataFrame, min_sites: int, lg_k: int, doc_id: str, text: str, site: str, broadcast_bytes: int) -> tuple[DataFrame, Column, Column]:
     """``docs`` joined with its removals, the positions to remove from each row, and the text that stays."""
     names = fresh(docs.columns, "gone_id", "gone_t", "gone")
     right = checkpointed(removals(docs, min_sites, lg_k, doc_id, text, site).toDF(*names))
-    small = right.count() <= broadcast_rows
+    rows, places = right.agg(F.count("*"), F.coalesce(F.sum(F.size(names[2])), F.lit(0))).first()
+    small = 64 * rows + 4 * places <= broadcast_bytes
     same = (F.xxhash64(docs[text]) == right[names[1]]) & docs[doc_id].eqNullSafe(right[names[0]])
     joined = docs.join(F.broadcast(right) if small else right, same, "left")
     gone = right[names[2]]
@@ -97,14 +100,16 @@ def _with_removals(docs: DataFrame, min_sites: int, lg_k: int, doc_id: str, text
     return joined, gone, F.when(gone.isNull(), docs[text]).otherwise(stays)
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, doc_id: str = "doc_id", text: str = "text", site: str = "source", n_chars: str = "n_chars", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, doc_id: str = "doc_id", text: str = "text", site: str = "source", n_chars: str = "n_chars", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs``, all columns kept, with the text that ``strip_lines`` leaves, and the number
     of characters brought up to date where there is such a column.
 
     A row that had nothing but boilerplate which stays elsewhere is left out; rows
-    that lose no line, empty and null texts among them, are unchanged.
+    that lose no line, empty and null texts among them, are unchanged.  Null ids and
+    sites, repeated rows, ties, empty tables and very long texts are as in ``strip_lines``;
+    names of the table's own columns may be any.
     """
-    joined, gone, stays = _with_removals(docs, min_sites, lg_k, doc_id, text, site, broadcast_rows)
+    joined, gone, stays = _with_removals(docs, min_sites, lg_k, doc_id, text, site, broadcast_bytes)
     kept = joined.filter(gone.isNull() | (F.trim(F.translate(stays, "\n\r\t", "   ")) != ""))
     count = {n_chars: F.when(gone.isNull(), docs[n_chars]).otherwise(F.length(stays).cast(docs.schema[n_chars].dataType))} if n_chars in docs.columns else {}
     return kept.select(*[stays.alias(c) if c == text else count.get(c, docs[c]).alias(c) for c in docs.columns])

@@ -523,7 +523,9 @@ def one_of_each(docs: DataFrame, n: int = N, t: float = THRESHOLD, text: str = "
 
     A group is a connected component of pairs at a similarity of t at least; the row
     with the least doc_id stays (nulls last, then the least hash of the text; of rows
-    with the same doc_id and text one).  Rows whose text is null or has no words are in no group and all stay.
+    with the same doc_id and text one).  Rows whose text is null, empty or has no words
+    are in no group and all stay; very long texts are compared whole; an empty table
+    gives an empty one; columns may have any names.
     """
     members, sets_ = _classed(_keyed(docs, text, doc_id), n, t, BROADCAST_KEYS)
     row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")

@@ -89,7 +89,7 @@ def test_line_dedup(spark, edge, empty):
     assert stripped == {(k, 0) for k in (1, 2, 3, None, 4, 5, 6, 7, 8, 9)}
     more = _docs(spark, [(k, PROSE + f"own {k}", "en", f"s{k}", 9) for k in (3, 1, 2)] + [(None, PROSE, "en", "s9", 9), (1, PROSE + "own 1", "en", "s1", 9)])
     for limit in (0, 100):
-        rows = line_dedup.without_boilerplate(more, broadcast_rows=limit)
+        rows = line_dedup.without_boilerplate(more, broadcast_bytes=limit)
         assert rows.columns == more.columns
         assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rows.collect()) == [(1, PROSE + "own 1", 9), (1, PROSE + "own 1", 9), (2, "own 2", 5), (3, "own 3", 5)]
     assert line_dedup.strip_lines(empty).count() == 0 and line_dedup.without_boilerplate(empty).columns == edge.columns

@@ -53,7 +53,7 @@ DROP_ROWS = 1_000_000
 #: Prefix n-grams that one task sweeps.
 SWEEP_ROWS = 3_000_000
 #: Prefix n-grams that are packed, and swept, at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 #: n-grams of the sets, and sets, that meet in one block of a neighbour; a block holds about twice as many.
 BLOCK_GRAMS, BLOCK_SETS = 1 << 20, 1024
 #: A set that this share of all rows has, or more, is joined by broadcast: no more than 1000 sets are.
@@ -62,7 +62,7 @@ HOT_SHARE = 1000
 _ENTRY = np.dtype([("gram", "<u4"), ("g", "<u4"), ("top", "u1"), ("size", "<u2")])
 _MOST = 65535
 #: Pairs that one sweep step holds at most.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def prefix_length(size: np.ndarray, t: float, shared: int = SHARED) -> np.ndarray:

@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,13 +76,82 @@ def list_bytes(xs: Column) -> Column:
 POSTINGS = "array<struct<doc_id: bigint, positions: array<int>>>"
 
 
+def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The encodings of whole numbers one after the other, and where each begins (n + 1 values)."""
+    if len(x) and int(x.min()) < 0:
+        raise ValueError("only whole numbers from 0 on have an encoding")
+    n = np.ones(len(x), np.int64)
+    for k in range(1, 9):
+        n += x >= 1 << 7 * k
+    end = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(end[-1], np.uint8)
+    for k in range(int(n.max()) if len(n) else 0):
+        some = n > k
+        out[end[1:][some] - 1 - k] = (x[some] >> 7 * k & 127) | (128 if k else 0)
+    return out, end
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 def _encoded(postings: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else encode_postings([(x["doc_id"], x["positions"]) for x in p]) for p in postings.to_pylist()], pa.binary())
+    """All lists at once: their numbers in the order of the encoding, then the bytes of these."""
+    rows, flat = _offsets(postings), postings.flatten()
+    doc, lists = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1)
+    at, pos = _offsets(lists), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    many = np.diff(rows)
+    # the last posting of a list comes first
+    row = np.repeat(np.arange(len(many)), many)
+    order = rows[:-1][row] + rows[1:][row] - 1 - np.arange(len(row))
+    size = np.diff(at)[order]
+    begin = np.concatenate([[0], np.cumsum(size + 2)])  # of each posting, without the counts of lists
+    first = begin[rows] + np.arange(len(rows))  # of each list
+    numbers_ = np.zeros(first[-1], np.int64)
+    numbers_[first[:-1]] = many
+    start = begin[:-1] + row + 1
+    numbers_[start], numbers_[start + 1] = doc[order], size
+    rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    numbers_[np.repeat(start + 2, size) + rank] = pos[np.repeat(at[:-1][order], size) + rank]
+    data, end = _varints(numbers_)
+    out = pa.Array.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(end[first].astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+    return pc.if_else(postings.is_valid(), out, pa.scalar(None, pa.binary()))
+
+
+def _all_numbers(data: np.ndarray) -> np.ndarray:
+    """Every number in a row of encodings."""
+    last = np.flatnonzero(data < 128)
+    group = np.concatenate([[0], np.cumsum(data < 128)[:-1]]) if len(data) else np.zeros(0, np.int64)
+    out = np.zeros(len(last), np.int64)
+    shift = 7 * (last[group[: last[-1] + 1]] - np.arange(last[-1] + 1)) if len(last) else np.zeros(0, np.int64)
+    np.add.at(out, group[: len(shift)], (data[: len(shift)].astype(np.int64) & 127) << shift)
+    return out
 
 
 def _decoded(data: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))]))
-    return pa.array([None if x is None else [{"doc_id": d, "positions": at} for d, at in decode_postings(x)] for x in data.to_pylist()], kind)
+    docs, sizes_, taken, counts = [], [], [], []
+    for x in data:
+        if not x.is_valid:
+            counts.append(0)
+            continue
+        n = _all_numbers(np.frombuffer(x.as_buffer(), np.uint8))
+        head, at = [], 1
+        sizes = n.tolist()
+        for _ in range(sizes[0]):  # a step for each posting, not for each number
+            head.append(at)
+            at += 2 + sizes[at + 1]
+        head = np.array(head[::-1], np.int64)
+        size = n[head + 1]
+        docs.append(n[head])
+        taken.append(n[np.repeat(head + 2, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
+        sizes_.append(size)
+        counts.append(len(head))
+    flat = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+    inner = np.concatenate([[0], np.cumsum(flat(sizes_))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(inner), pa.array(flat(taken).astype(np.int32)))
+    structs = pa.StructArray.from_arrays([pa.array(flat(docs)), lists], ["doc_id", "positions"])
+    outer = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(outer), structs, mask=data.is_null())
 
 
 def encoded(postings: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 #: Code points in a term of the index.
 WIDTH = 3
@@ -82,6 +83,22 @@ def project_root(file: Column, root: Column) -> Column:
     return F.when(below, F.concat(root, F.lit("/"), F.substring_index(rest, "/", 1)))
 
 
+def below(file: Column, name: str) -> Column:
+    """Whether a directory of that name is above ``file``."""
+    return F.exists(F.split(parent(file), "/"), lambda x: x == name)
+
+
+def _snaked(kind: DataType) -> DataType:
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name.lower().replace("-", "_"), _snaked(f.dataType), f.nullable) for f in kind])
+    return ArrayType(_snaked(kind.elementType), kind.containsNull) if isinstance(kind, ArrayType) else kind
+
+
+def json_encoded(value: Column, kind: DataType) -> Column:
+    """A struct, or list of them, of the type ``kind`` as JSON, its keys in snake case; nulls are written."""
+    return F.to_json(value.cast(_snaked(kind)), {"ignoreNullFields": "false"})
+
+
 def json_escaped(text: Column) -> Column:
     """A text as JSON writes it between its quotes: control characters and, as pairs of
     surrogates, what lies beyond the basic plane are escaped."""

@@ -31,6 +31,7 @@ def index_specs(specs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
     ``sources``: (filename, body); a file that isn't there has no body and no postings.
     An identifier without locations is still a symbol or package; a definition in a file
     that isn't the spec's is in document 0; a location without file or position is none.
+    An identifier that a spec has twice is one symbol or package with the definitions of both.
     """
     listed = specs.select("spec_file", "system_name", "root_directory", "asd_file", "time", F.posexplode(F.concat(F.array("asd_file"), "files")).alias("no", "path"))
     # a file that a spec names twice is one document
@@ -53,6 +54,11 @@ def index_specs(specs: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
     return {"document": document, "asd_system": system, "symbol": symbol, "package": packages, "symbol_definition": placed("symbol", "symbol_id"), "package_definition": placed("package", "package_id")}
 
 
+def at_home(symbols: DataFrame, home: str = "home_package") -> DataFrame:
+    """The rows whose symbol is at home in the package that it was found in; imported ones go."""
+    return symbols.filter(F.col(home) == F.col("package_name"))
+
+
 _HEAD = re.compile(r"^[A-Za-z]+", re.M)
 
 

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WIDTH, symbol_name, symbol_package
 
-#: Documents whose names and lines are broadcast to the results, at most; else they are joined by shuffle.
-BROADCAST_ROWS = 100_000
-
 
 def _checked(phrase: str) -> str:
     if len(phrase) < WIDTH:
@@ -97,10 +94,9 @@ def symbols(symbol: DataFrame, definition: DataFrame, documents: DataFrame, quer
     """(doc_id, filename, start, specifier, symbol_name, package_name): the definitions of
     the symbols that a query names, in any package if it names none.  A definition in an
     unknown document stays, without a file name."""
-    asked = symbol.sparkSession.range(1).select(parsed_symbol(F.lit(query)).alias("q")).first()["q"]
-    mine = symbol.filter(F.col("name") == asked["name"])
-    if asked["package_name"] is not None:
-        mine = mine.filter(F.col("package_name") == asked["package_name"])
+    # constants for the optimiser, which hands them to the scan
+    package = symbol_package(F.lit(query))
+    mine = symbol.filter((F.col("name") == symbol_name(F.lit(query))) & (package.isNull() | (F.col("package_name") == package)))
     mine = mine.select("symbol_id", F.col("name").alias("symbol_name"), "package_name")
     at = definition.join(mine, "symbol_id").select("doc_id", F.col("position").alias("start"), "specifier", "symbol_name", "package_name")
     return at.join(documents.select("doc_id", "filename"), "doc_id", "left").select("doc_id", "filename", "start", "specifier", "symbol_name", "package_name")

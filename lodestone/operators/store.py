@@ -25,7 +25,8 @@ def write(path: str, relations: dict[str, DataFrame], mode: str = "overwrite") -
     for name, rows in relations.items():
         order = ORDER.get(name)
         rows = _shaped(name, rows)
-        rows = rows.repartitionByRange(order[0]).sortWithinPartitions(*order) if order else rows
+        # ranges of the whole order: what one term or name has may be more than a task should write
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
         rows.write.mode(mode).parquet(f"{path}/{name}")
 
 
@@ -35,7 +36,25 @@ def _shaped(name: str, rows: DataFrame) -> DataFrame:
 
 
 def read_one(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(RELATIONS[name]).parquet(f"{path}/{name}")
+    """A relation, with what was appended to it in folders of their own."""
+    return spark.read.schema(RELATIONS[name]).option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_part(path: str, name: str, part: str, rows: DataFrame) -> None:
+    """Rows of a relation in a folder of their own, in place of what was in it: writing them again changes nothing."""
+    order = ORDER.get(name)
+    rows = _shaped(name, rows)
+    rows = rows.sortWithinPartitions(*order) if order else rows
+    rows.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
+
+
+def has_part(spark: SparkSession, path: str, name: str, part: str) -> bool:
+    return exists(spark, f"{path}/{name}/{part}/_SUCCESS")
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:

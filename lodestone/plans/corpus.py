@@ -6,11 +6,14 @@ symbols defined there, sources the packages, and languages the systems.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity
-from ..operators import definitions, index
+from ..operators import definitions, index, store
+from ..session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,5 +67,45 @@ def sharded(docs: DataFrame) -> DataFrame:
     """``docs`` as separate indexes have them, one for each source: ``shard`` in order of
     the sources' numbers, and doc_id counted from 1 in each."""
     number = F.regexp_replace("source", "[^0-9]", "").cast("int")
-    local = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint")
-    return docs.withColumn("shard", number).withColumn("local_id", local).withColumn("doc_id", F.col("local_id")).drop("local_id")
+    # numbers only go through the window, texts don't
+    local = docs.select(F.col("doc_id").alias("old_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("local_id"))
+    return docs.join(local, F.col("doc_id") == F.col("old_id")).withColumn("shard", number).withColumn("doc_id", F.col("local_id")).drop("local_id", "old_id")
+
+
+def by_language(docs: DataFrame) -> list[dict[str, DataFrame]]:
+    """The relations of separate indexes, one for each language in order, each with its own ids from 1 on."""
+    local = docs.select(F.col("doc_id").alias("old_id"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("bigint").alias("local_id"))
+    own = docs.join(local, F.col("doc_id") == F.col("old_id")).withColumn("doc_id", F.col("local_id")).select("doc_id", "filename", "body", "source", "lang")
+    # the languages there are: a handful, whatever the corpus
+    return [relations(own.filter(F.col("lang").eqNullSafe(r["lang"]))) for r in docs.select("lang").distinct().orderBy("lang").collect()]
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index of the documents is stored; it is written when it is asked for first."""
+    path = f"{shared_folder(spark)}/index-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    if not store.exists(spark, f"{path}/done/_SUCCESS"):
+        store.write(path, relations(document(spark, sf_dir)))
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return path
+
+
+#: Documents of a system whose spec is made of them.
+SPEC_DOCS = 100
+
+
+def specs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(specs, sources): analyser output as the documents would have it, a system for each
+    hundred of them, with a symbol for each document, and the files' texts."""
+    docs = table(spark, sf_dir, "documents")
+    system = F.concat(F.lit("s"), F.floor(F.col("doc_id") / SPEC_DOCS).cast("string"))
+    path = F.concat(F.lit("/r/"), system, F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    identifier = F.struct(F.lit("symbol").alias("type"), F.concat(F.lit("N"), (F.col("doc_id") % 7).cast("string")).alias("name"), F.upper("lang").alias("package"))
+    place = lambda file, at: F.struct(F.lit("DOC").alias("specifier"), file.alias("file"), at.cast("int").alias("position"))
+    at = F.array(place(path, F.col("n_chars")), place(F.lit("/elsewhere"), F.lit(0)))
+    one = F.struct("doc_id", path.alias("path"), F.struct(identifier.alias("identifier"), at.alias("locations")).alias("d"))
+    each = docs.groupBy(system.alias("system_name")).agg(F.array_sort(F.collect_list(one)).alias("x"))
+    rows = each.select(
+        F.col("system_name").alias("spec_file"), "system_name", F.concat(F.lit("/r/"), "system_name").alias("root_directory"), F.concat(F.lit("/r/"), "system_name", F.lit("/a.asd")).alias("asd_file"),
+        F.col("x.path").alias("files"), F.col("x.d").alias("definitions"), F.lit(1.0).alias("time"),
+    )
+    return rows, docs.select(path.alias("filename"), F.col("text").alias("body"))

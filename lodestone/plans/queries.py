@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, lexer
 from ..functions import text as ft
-from ..operators import definitions, index, lookups, makefile, merge, render, search
+from ..operators import definitions, index, lookups, makefile, merge, render, search, store
 from ..schema import RELATIONS
 from ..sources import packages, quicklisp
 from . import corpus, engine
@@ -160,6 +161,17 @@ def insert_if_absent(spark, sf_dir):
     return index.insert_if_absent(kept, _postings(docs), "term", "doc_id").select("term", "doc_id", _flat())
 
 
+@query(
+    _with(_DOC, _TERMS, _HEADS, _PACKAGE)
+    + "select 'document' as relation, count(*) as n from document union all select 'token', count(distinct term) from token_at union all select 'inverted_index', count(*) from posting union all select 'symbol', count(*) from symbol"
+    + " union all select 'package', count(*) from package union all select 'symbol_definition', count(*) from symbol_definition union all select 'package_definition', count(*) from package_definition union all select 'asd_system', count(*) from asd_system"
+)
+def index_store(spark, sf_dir):
+    """The stored relations of the documents, written if they aren't there yet, and their rows."""
+    r = store.read(spark, corpus.stored(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("relation"), "n") for name, rows in r.items()])
+
+
 # ---- phrases ------------------------------------------------------------------------------------
 
 
@@ -172,8 +184,15 @@ def _phrase(name: str, phrase: str) -> None:
 
     @query(_with(_DOC, _phrase_sql(phrase)) + select, f"{name}_by_index")
     def by_index(spark, sf_dir):
+        # the index is made for this phrase: of documents that have its terms, wherever
         docs = corpus.document(spark, sf_dir)
-        return search.index_phrase(_postings(docs), docs, phrase)
+        some = reduce(DataFrame.filter, [F.col("body").contains(phrase[k : k + ft.WIDTH]) for k in range(len(phrase) - ft.WIDTH + 1)], docs)
+        return search.index_phrase(_postings(some), docs, phrase)
+
+    @query(_with(_DOC, _phrase_sql(phrase)) + select, f"{name}_stored")
+    def by_store(spark, sf_dir):
+        r = store.read(spark, corpus.stored(spark, sf_dir))
+        return search.index_phrase(r["inverted_index"], r["document"], phrase)
 
 
 PHRASES = {"phrase_search": "tion", "phrase_search_repeated_trigram": "llll", "phrase_search_nonascii": "é d", "phrase_search_missing_term": "qzxjq", "phrase_search_newline": ".\nT"}
@@ -241,16 +260,16 @@ def file_search_pages(spark, sf_dir):
 
 # ---- symbols, packages, systems -----------------------------------------------------------------
 
-_SYMBOL_QUERIES = ("cl:car", "a:b:c", "a:::b", "::k", ":k", "foo", "src1::the", "x:")
-
-
 @query(
-    "with q as (select unnest([" + ", ".join(f"'{q}'" for q in _SYMBOL_QUERIES) + r"""]) as query)
+    r"""with q as (select unnest([p_name, p_brand || ':' || p_name, p_brand || '::' || p_type, '::' || p_name, ':' || p_name, p_type || ':::' || p_brand, p_brand || ':b:' || p_size, p_type || ':']) as query from part)
     select query, upper(case when contains(query, '::') then regexp_extract(query, '^(.*)::(.*)$', 2) when contains(query, ':') then regexp_extract(query, '^(.*):(.*)$', 2) else query end) as name,
     upper(nullif(case when contains(query, '::') then regexp_extract(query, '^(.*)::(.*)$', 1) when contains(query, ':') then regexp_extract(query, '^(.*):(.*)$', 1) end, '')) as package_name from q"""
 )
 def parse_symbol(spark, sf_dir):
-    asked = spark.createDataFrame([(q,) for q in _SYMBOL_QUERIES], "query string")
+    """Symbol queries of every shape, made of all parts."""
+    n, b, k, s = F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")
+    shapes = [n, F.concat(b, F.lit(":"), n), F.concat(b, F.lit("::"), k), F.concat(F.lit("::"), n), F.concat(F.lit(":"), n), F.concat(k, F.lit(":::"), b), F.concat(b, F.lit(":b:"), s), F.concat(k, F.lit(":"))]
+    asked = corpus.table(spark, sf_dir, "part").select(F.explode(F.array(*shapes)).alias("query"))
     return asked.select("query", search.parsed_symbol(F.col("query")).alias("p")).select("query", "p.*")
 
 
@@ -280,6 +299,23 @@ def symbol_search_metadata(spark, sf_dir):
     return found.select("doc_id", "filename", "start", "end", flat.alias("metadata"))
 
 
+@query(_with(_DOC, _HEADS) + _FOUND + " where s.name = 'THE' and s.package_name = 'SRC1'")
+def symbol_search_stored(spark, sf_dir):
+    r = store.read(spark, corpus.stored(spark, sf_dir))
+    return search.symbols(r["symbol"], r["symbol_definition"], r["document"], "src1::the")
+
+
+@query(
+    _with(_DOC, _HEADS, _phrase_sql("tion", "one"), _phrase_sql("ing th", "two"))
+    + "select 0 as query_no, doc_id, filename, start, start as \"end\" from ("
+    + _FOUND
+    + """ where s.name = 'THE') union all select 1, doc_id, filename, 0, 0 from document where contains(filename, '1/en/') union all select 2, doc_id, filename, start, "end" from one union all select 3, doc_id, filename, start, "end" from two"""
+)
+def symbol_file_and_phrases(spark, sf_dir):
+    """A symbol, a part of a file name and two phrases in one search of the store."""
+    return engine.search_store(store.read(spark, corpus.stored(spark, sf_dir)), ["tion", "ing th"], symbol="the", file="1/en/").drop("metadata")
+
+
 @query(_with(_DOC, _HEADS) + "select symbol_id, specifier, doc_id, position from symbol_definition")
 def symbol_definitions(spark, sf_dir):
     return corpus.symbol_definition(corpus.document(spark, sf_dir))
@@ -370,14 +406,57 @@ def merge_index(spark, sf_dir):
     return merge.postings(_shard_postings(docs), ids).select("term", "doc_id", _flat())
 
 
-@query(_with(_DOC, _HEADS) + "select * from symbol")
+_SPLIT = "split as (select *, row_number() over (order by lang, doc_id) as new_id from document)"
+
+
+@query(_with(_DOC, _HEADS) + "select distinct lang, symbol_id, name, package_name from head join document using (doc_id) join symbol using (name, package_name)".replace("select distinct lang, ", "select symbol_id, name, package_name from (select distinct lang, ") + ")")
 def merge_symbols(spark, sf_dir):
-    return merge.plain(corpus.symbol(corpus.document(spark, sf_dir)).withColumn("shard", F.regexp_replace("package_name", "[^0-9]", "").cast("int")))
+    """Symbols of one index for each language: equal names in two of them stay two rows."""
+    return merge.merged(corpus.by_language(corpus.document(spark, sf_dir)))["symbol"]
 
 
-@query(_with(_DOC, _PACKAGE) + "select * from package")
+@query(_with(_DOC) + "select md5(upper(source)) as package_id, upper(source) as name, md5('system::' || lang) as system_id from document group by source, lang")
 def merge_packages(spark, sf_dir):
-    return merge.plain(corpus.package(corpus.document(spark, sf_dir)).withColumn("shard", F.regexp_replace("name", "[^0-9]", "").cast("int")))
+    """Packages likewise, each in the system of its index."""
+    return merge.merged(corpus.by_language(corpus.document(spark, sf_dir)))["package"]
+
+
+@query(_with(_DOC, _TERMS, _SPLIT) + "select term, filename, new_id as doc_id, positions from posting join split using (doc_id)")
+def merge_whole_indexes(spark, sf_dir):
+    """Whole indexes, one for each language, made one: its postings with the documents that they name."""
+    one = merge.merged(corpus.by_language(corpus.document(spark, sf_dir)))
+    return index.describe(one["inverted_index"], one["document"])
+
+
+@query(_with(_DOC, _SHARD) + "select shard, local_id, m.doc_id, filename from local join id_map m using (shard, local_id)")
+def doc_id_map(spark, sf_dir):
+    docs, ids = _shards(spark, sf_dir)
+    return merge.described(docs, ids)
+
+
+_SPECS = f"""file as (select doc_id as d, 's' || cast(floor(doc_id / {corpus.SPEC_DOCS}) as bigint) as system, 'd' || doc_id || '.txt' as filename, text as body, lang, n_chars from documents union all select distinct null, 's' || cast(floor(doc_id / {corpus.SPEC_DOCS}) as bigint), 'a.asd', null, null, null from documents),
+    numbered as (select *, row_number() over (order by system, d nulls first) as doc_id from file)"""
+
+
+@query(_with(_SPECS) + "select doc_id, filename, body from numbered")
+def spec_documents(spark, sf_dir):
+    """The documents that an index of specs has: each system's own file, then its others."""
+    return definitions.index_specs(*corpus.specs(spark, sf_dir))["document"]
+
+
+@query(
+    _with(_SPECS, "named as (select *, md5('symbol::' || system || '::' || upper(lang) || '::N' || (d % 7)) as symbol_id from numbered where d is not null)")
+    + "select symbol_id, 'N' || (d % 7) as name, upper(lang) as package_name, 'DOC' as specifier, doc_id, cast(n_chars as integer) as position from named union all select symbol_id, 'N' || (d % 7), upper(lang), 'DOC', 0, 0 from named"
+)
+def spec_definitions(spark, sf_dir):
+    """Symbols and definitions of specs; those in a file that no spec has are in document 0."""
+    r = definitions.index_specs(*corpus.specs(spark, sf_dir))
+    return r["symbol_definition"].join(r["symbol"], "symbol_id").select("symbol_id", "name", "package_name", "specifier", "doc_id", "position")
+
+
+@query(_with(_SPECS) + "select md5('system::' || system) as system_id, system as name, doc_id, cast(1.0 as double) as analyzed_time from numbered where d is null")
+def spec_systems(spark, sf_dir):
+    return definitions.index_specs(*corpus.specs(spark, sf_dir))["asd_system"]
 
 
 @query(_with(_DOC, _HEADS, _SHARD) + "select symbol_id, specifier, m.doc_id, position from symbol_definition d join id_map m on d.doc_id = m.old_id")
@@ -418,6 +497,14 @@ def snake_case(spark, sf_dir):
     return corpus.table(spark, sf_dir, "part").select("p_partkey", ft.snake_case(F.col("p_name")).alias("snake"), ft.safe_name(F.concat_ws("/", "p_type", "p_brand")).alias("safe"))
 
 
+@query("""select p_partkey, '{"p_part_key":' || p_partkey || ',"p_size":' || p_size || ',"p_name":"' || p_name || '","kinds":["' || p_brand || '","' || p_type || '"],"none":null}' as json from part""")
+def json_objects(spark, sf_dir):
+    """Structs as JSON objects with keys in snake case."""
+    one = F.struct(F.col("p_partkey").alias("P-Part-Key"), F.col("p_size").alias("P-SIZE"), F.col("p_name").alias("P_Name"), F.array("p_brand", "p_type").alias("Kinds"), F.lit(None).cast("string").alias("None"))
+    rows = corpus.table(spark, sf_dir, "part").select("p_partkey", one.alias("x"))
+    return rows.select("p_partkey", ft.json_encoded(F.col("x"), rows.schema["x"].dataType).alias("json"))
+
+
 @query("""select doc_id, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') as escaped
     from documents where not regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{10000}-\\x{10ffff}]')""")
 def json_text(spark, sf_dir):
@@ -456,13 +543,14 @@ def systems_by_project(spark, sf_dir):
     return quicklisp.by_project(_systems(spark, sf_dir)).select("project", F.size("system_names").cast("bigint").alias("n"), F.array_join("system_names", " ").alias("system_names"))
 
 
-# Each customer's release holds a file for each of its orders with an even number.
-_RELEASED = "release as (select 'p' || o_custkey as project, 'v' || o_custkey as prefix, o_orderkey as k from orders where o_orderkey % 2 = 0)"
+# Each customer's release holds a file for each of its finished orders.
+_RELEASED = "release as (select 'p' || o_custkey as project, 'v' || o_custkey as prefix, o_orderkey as k, o_orderstatus as status from orders)"
 
 
-@query(_with(_LINES, _RELEASED) + "select system_name, 'dist/' || prefix || '/' || case when no % 2 = 0 then 'src/f' || no || '.asd' end as asd_file from system join (select distinct project, prefix from release) using (project)")
+@query(_with(_LINES, _RELEASED) + "select system_name, 'dist/' || prefix || '/' || case when status = 'F' then 'src/f' || no || '.asd' end as asd_file from system join release on system.project = release.project and no = k")
 def system_map_join(spark, sf_dir):
-    own = corpus.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("k"))
+    done = F.collect_list(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")))
+    own = corpus.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(done).alias("k"))
     p = F.col("o_custkey").cast("string")
     line = F.concat(F.lit("p"), p, F.lit(" http 1 md5 sha v"), p, F.array_join(F.transform("k", lambda x: F.concat(F.lit(" src/f"), x.cast("string"), F.lit(".asd"))), ""))
     released = quicklisp.parsed_releases(own.select(F.col("o_custkey").alias("no"), line.alias("line")))

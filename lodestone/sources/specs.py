@@ -22,3 +22,9 @@ def read(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     for c in ("files", "definitions"):
         specs = specs.withColumn(c, F.coalesce(c, F.array().cast(specs.schema[c].dataType)))
     return specs, rows.filter(~good).select("spec_file", F.col(_BAD).alias("raw"))
+
+
+def statuses(specs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(spec_file, system_name, status) of all files: success, or failure, then without a name."""
+    good = specs.select("spec_file", "system_name", F.lit("success").alias("status"))
+    return good.unionByName(rejected.select("spec_file", F.lit(None).cast("string").alias("system_name"), F.lit("failure").alias("status")))

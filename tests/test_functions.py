@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import codec, lexer
 from lodestone.functions import text as ft
+from lodestone.operators import definitions
 
 GOLDEN = {0: [0], 1: [1], 12: [12], 127: [127], 128: [129, 0], 12345: [224, 57], 12345678: [133, 241, 194, 78]}
 
@@ -30,6 +32,34 @@ def test_postings_come_back(postings):
     assert codec.decode_postings(codec.encode_postings(postings)) == postings
 
 
+POSTINGS = pa.list_(pa.struct([("doc_id", pa.int64()), ("positions", pa.list_(pa.int32()))]))
+
+
+@given(st.lists(st.none() | st.lists(st.tuples(st.integers(0, 1 << 62), st.lists(st.integers(0, (1 << 31) - 1), max_size=5)), max_size=4), max_size=6), st.integers(0, 2))
+def test_columns_are_encoded_as_single_lists_are(rows, skip):
+    column = pa.array([None if r is None else [{"doc_id": d, "positions": at} for d, at in r] for r in rows], POSTINGS).slice(skip)
+    data = codec._encoded(column)
+    assert data.to_pylist() == [None if r is None else codec.encode_postings(r) for r in rows[skip:]]
+    assert codec._decoded(data).to_pylist() == column.to_pylist()
+
+
+def test_negative_numbers_in_columns_have_no_encoding():
+    with pytest.raises(ValueError):
+        codec._encoded(pa.array([[{"doc_id": -1, "positions": []}]], POSTINGS))
+
+
+def test_json_objects_and_ancestors(spark):
+    df = spark.createDataFrame([(("A-b", [(1, None)]), "/x/tests/y.lisp"), (None, "/tests")], "s struct<`System-NAME`: string, parts: array<struct<`No`: int, Q: double>>>, f string")
+    rows = df.select(ft.json_encoded(F.col("s"), df.schema["s"].dataType).alias("j"), ft.below(F.col("f"), "tests").alias("b")).collect()
+    assert rows[0]["j"] == '{"system_name":"A-b","parts":[{"no":1,"q":null}]}' and rows[1]["j"] is None
+    assert [r["b"] for r in rows] == [True, False]
+
+
+def test_symbols_at_home(spark):
+    df = spark.createDataFrame([("a", "P", "P"), ("b", "P", "CL"), ("c", "P", None)], "name string, package_name string, home_package string")
+    assert [r["name"] for r in definitions.at_home(df).collect()] == ["a"]
+
+
 @given(st.lists(st.integers(0, 1 << 62), max_size=20))
 def test_lists_come_back(xs):
     assert codec.decode_list(codec.encode_list(xs)) == xs
@@ -101,6 +131,17 @@ def test_lexer(text):
     assert [t[:2] for t in lexer.tokens(text)] == LEXED[text]
 
 
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("foo; x\n", "SYMBOL LINE-COMMENT"), ("foo;\nbar", "SYMBOL LINE-COMMENT SYMBOL"), ("#\\space", "CHARACTER"), ("#\\'", "CHARACTER"), ("#'car", "FUNCTION-OBJECT"), ("#'(f ())", "T T SYMBOL T T T"), ("#(abc)", "T SYMBOL T"), ("#:foo", "UNINTERN-SYMBOL"),
+        ("#| a #||# |#", "BLOCK-COMMENT"), ("#1=(x)", "T T SYMBOL T"), ("abc あい", "SYMBOL SYMBOL"), ('"s" \'q', "STRING T SYMBOL"), ("#:\\|", "UNINTERN-SYMBOL"), ("|a b| c", "SYMBOL SYMBOL"),
+    ],
+)
+def test_kinds_of_tokens(text, kinds):
+    assert [k for _, _, k in lexer.tokens(text)] == kinds.split()
+
+
 @given(st.text("ab#'\\|\"; \n():1=", max_size=40))
 def test_lexer_ends_and_moves_on(text):
     at = [p for _, p, _ in lexer.tokens(text)]

@@ -82,11 +82,22 @@ def postings(docs: DataFrame, text: str = "body") -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text).mapInArrow(run, POSTING)
 
 
+#: Documents of a segment of a posting list: a frequent term's list is many rows, none of which grows with the corpus.
+SEGMENT = 1 << 16
+
+
 def posting_lists(index: DataFrame) -> DataFrame:
-    """(term, postings): each term's documents, ascending, with their positions."""
+    """(term, postings): each term's documents, ascending, with their positions, as the byte
+    codec takes them.  A row holds all of a term's documents; ``posting_segments`` bounds it."""
     return index.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("postings"))
 
 
+def posting_segments(index: DataFrame, documents: int = SEGMENT) -> DataFrame:
+    """(term, segment, postings): posting lists in segments of so many document numbers."""
+    segment = F.floor(F.col("doc_id") / documents).alias("segment")
+    return index.groupBy("term", segment).agg(F.array_sort(F.collect_list(F.struct("doc_id", "positions"))).alias("postings"))
+
+
 def dictionary(docs: DataFrame, text: str = "body") -> DataFrame:
     """(token_id, term, kind) of every distinct trigram; kind is null."""
     terms = docs.select(F.explode(F.array_distinct(trigrams(F.col(text)))).alias("term")).distinct()

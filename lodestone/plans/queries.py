@@ -99,11 +99,11 @@ def inverted_index(spark, sf_dir):
     return _postings(corpus.document(spark, sf_dir)).select("term", "doc_id", _flat())
 
 
-@query(_with(_DOC, _TERMS) + "select term, count(*) as n_docs, string_agg(cast(doc_id as varchar) || ':' || positions, ';' order by doc_id) as postings from posting group by term")
+@query(_with(_DOC, _TERMS) + f"select term, doc_id // {index.SEGMENT} as segment, count(*) as n_docs, string_agg(cast(doc_id as varchar) || ':' || positions, ';' order by doc_id) as postings from posting group by term, segment")
 def posting_lists(spark, sf_dir):
-    lists = index.posting_lists(_postings(corpus.document(spark, sf_dir)))
+    lists = index.posting_segments(_postings(corpus.document(spark, sf_dir)))
     one = lambda p: F.concat(p["doc_id"].cast("string"), F.lit(":"), F.array_join(F.transform(p["positions"], lambda x: x.cast("string")), " "))
-    return lists.select("term", F.size("postings").cast("bigint").alias("n_docs"), F.array_join(F.transform("postings", one), ";").alias("postings"))
+    return lists.select("term", "segment", F.size("postings").cast("bigint").alias("n_docs"), F.array_join(F.transform("postings", one), ";").alias("postings"))
 
 
 @query(_with(_DOC, _TERMS) + "select term, count(distinct doc_id) as df from token_at group by term")
@@ -116,10 +116,10 @@ def index_size(spark, sf_dir):
     return index.size(index.spread(corpus.document(spark, sf_dir).select("doc_id", "body")))
 
 
-@query(_with(_DOC, _TERMS) + "select count(distinct term) as lists, cast(0 as bigint) as corrupt from token_at")
+@query(_with(_DOC, _TERMS) + f"select count(distinct (term, doc_id // {index.SEGMENT})) as lists, cast(0 as bigint) as corrupt from token_at")
 def posting_order_check(spark, sf_dir):
-    """Posting lists, and those of them that are out of order."""
-    lists = index.posting_lists(_postings(corpus.document(spark, sf_dir)))
+    """Segments of posting lists, and those of them that are out of order."""
+    lists = index.posting_segments(_postings(corpus.document(spark, sf_dir)))
     bad = index.in_order()
     return lists.agg(F.count("*").alias("lists"), F.count(F.when(~bad, 1)).alias("corrupt"))
 

@@ -3,9 +3,15 @@ from __future__ import annotations
 import os
 
 import pytest
+from hypothesis import settings
 from pyspark.sql import SparkSession
 
 
+# the first call of a function also loads what it needs
+settings.register_profile("calm", deadline=None)
+settings.load_profile("calm")
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

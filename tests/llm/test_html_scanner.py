@@ -87,7 +87,7 @@ def test_a_million_characters_take_linear_time(part):
         began = time.process_time()
         html_text.extract_text(page + more)
         html_text.title(page + more)
-        assert time.process_time() - began < 6
+        assert time.process_time() - began < 15
 
 
 def test_titles():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 _SYMBOL = re.compile(r"(?:\\.|\|(?:\\.|[^\\|])*\||[^\s()'`,;\"|\\])+", re.S)
 _CHARACTER = re.compile(r"#\\(?:[A-Za-z][^\s()'`,;\"]*|.)", re.S)
-_STRING = re.compile(r'"(?:\\.|[^"\\])*(?:"|\Z)', re.S)
+_STRING = re.compile(r'"(?:\\.|[^"\\])*(?:"|\\?\Z)', re.S)
 _BLOCK = re.compile(r"#\||\|#")
 #: What the reader dispatches on when no token of its own follows: ``#(``, ``#1=``, ``#'``, ``#+`` and so on.
 _SHARP = re.compile(r"#(?:\d+[=#]|\d*[^\s\w;\"\\|)])")

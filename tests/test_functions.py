@@ -4,7 +4,7 @@ import json
 
 import pyarrow as pa
 import pytest
-from hypothesis import given
+from hypothesis import example, given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -142,6 +142,8 @@ def test_kinds_of_tokens(text, kinds):
     assert [k for _, _, k in lexer.tokens(text)] == kinds.split()
 
 
+@example('"\\')
+@example('a"b\\"\\')
 @given(st.text("ab#'\\|\"; \n():1=", max_size=40))
 def test_lexer_ends_and_moves_on(text):
     at = [p for _, p, _ in lexer.tokens(text)]

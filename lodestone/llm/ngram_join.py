@@ -5,14 +5,17 @@ n-grams among the first ``size - ceil(t * size) + L`` of each, in any one order.
 
 1. ``frequencies``: how often n-grams occur, over all texts, in a row of counters.  It
    only orders n-grams, rare ones first; any order is correct.
-2. ``_entries``: each text's prefix.  Texts with the same prefix and size are one
-   group, so exact copies meet as one entry however many they are.  Entries travel
-   packed, a few hundred to a row.
-3. Groups that share L prefix n-grams and whose sizes allow t are candidates, found in
+2. ``_bundled``: texts with the same prefix and size are one group, so exact copies meet
+   as one entry however many they are.  Sets of a size class that share a hash that very
+   many sets have among their least ones are one group too, of BUNDLE sets or so: a
+   cluster of M texts, which grows with the table, has pairs of groups by M / BUNDLE.
+   Any grouping is correct, as groups stand for all prefixes of their sets.
+3. ``_entries``: the groups' prefixes.  Entries travel packed, a few hundred to a row.
+   Groups that share L prefix n-grams and whose sizes allow t are candidates, found in
    one shuffle by n-gram, one sorted sweep over each partition and one sum.
-4. ``_verified``: candidates expand to the different sets of their groups.  Each set
-   travels once to the least neighbour of a clique, not once for each pair, and
-   intersections are counted exactly.  Where many sets meet at one neighbour they are
+4. ``_verified``: each set of a candidate travels once to the least neighbour of a clique
+   of groups, not once for each pair, and intersections are counted exactly, those of
+   large groups as products of matrices.  Where many sets meet at one neighbour they are
    spread over blocks of bounded size, and each pair is checked in one block.
 5. A block answers with a row a set: how many rows it is similar to there, and the least
    set that it is connected with.  So links are counted one by one, but neither pairs of
@@ -63,6 +66,14 @@ _ENTRY = np.dtype([("gram", "<u4"), ("g", "<u4"), ("top", "u1"), ("size", "<u2")
 _MOST = 65535
 #: Pairs that one sweep step holds at most.
 STEP = 1 << 18
+#: Least hashes of a set, two bits of each say which; sets that must have one for it to make bundles; sets in a bundle, about; the most such hashes.
+MINS, HOT_SETS, BUNDLE, HOT_MOST = 4, 32, 128, 1 << 20
+#: Size classes of bundles, a quarter of a power of two, and the least and most of each size's class.
+_CLASS = np.floor(np.log2(np.maximum(1, np.arange(_MOST + 1))) * 4).astype(np.int64)
+_MINS = [f"m{k}" for k in range(MINS)]
+_LOWER, _UPPER = np.searchsorted(_CLASS, _CLASS), np.searchsorted(_CLASS, _CLASS, side="right") - 1
+#: Pairs of sets up to which they are compared one by one, and numbers that a matrix of a block holds.
+FEW_PAIRS, MATRIX = 64, 1 << 22
 
 
 def prefix_length(size: np.ndarray, t: float, shared: int = SHARED) -> np.ndarray:
@@ -144,18 +155,50 @@ def frequencies(texts: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return out.reshape(-1), sum(r["seen"] for r in rows)
 
 
-def _grouped(arr: pa.Array, n: int, t: float, often: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By block: first row; of each row the size, group key (40 bits; groups that share
-    one are only verified together) and set signature; the rows' n-grams and their
-    offsets; the prefixes' n-grams and their offsets."""
+def _least(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """MINS hashes of each row's n-grams, the least of each quarter of them; 0 where there is none."""
+    h, out = g << np.uint64(18), np.zeros((len(off) - 1, MINS), np.uint64)
+    quarter = (h >> np.uint64(62)).astype(np.uint8)
+    for k in range(MINS):
+        at = np.flatnonzero(quarter == k)
+        edge = np.searchsorted(at, off)
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        if len(some):
+            out[some, k] = np.minimum.reduceat(h[at], edge[some])
+    return out.view(np.int64)
+
+
+def _bundled(key: np.ndarray, sig: np.ndarray, size: np.ndarray, least: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Group keys, 40 bits: of sets with one of the hot hashes, (hashes in order, sets that
+    have them), an odd one by the hash that most have, size class and part; else the key."""
+    hashes, many = hot
+    if not len(hashes):
+        return key
+    at = np.minimum(np.searchsorted(hashes, least), len(hashes) - 1)
+    have = np.where(hashes[at] == least, many[at], 0)
+    best = have.argmax(axis=1)[:, None]
+    have, least = np.take_along_axis(have, best, 1)[:, 0], np.take_along_axis(least, best, 1)[:, 0]
+    part = tc.mix(sig.astype(np.uint64)) % np.maximum(1, -(-have // BUNDLE)).astype(np.uint64)
+    kind = part << np.uint64(8) | _CLASS[np.minimum(size, _MOST)].astype(np.uint64)
+    bundle = tc.mix(least.astype(np.uint64) ^ tc.mix(kind)) >> np.uint64(24) | np.uint64(1)
+    return np.where((have > 0) & (size > 0), bundle, key)
+
+
+def _grouped(arr: pa.Array, n: int, t: float, often: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block: first row; of each row the size, group key (40 bits, even without hot
+    hashes; groups that share one are only verified together) and set signature; the rows'
+    n-grams and their offsets; the prefixes' n-grams and their offsets."""
     for a, off, g in sets(arr, n, often):
         size = np.diff(off)
         rank = np.arange(len(g)) - np.repeat(off[:-1], size)
         length = np.where(size > 0, prefix_length(size, t), 0)
         p = g[rank < np.repeat(length, size)]
         poff = np.concatenate([[0], np.cumsum(length)])
-        key = (_signature(p, poff) ^ tc.mix(size.astype(np.uint64))) >> np.uint64(24)
-        yield a, size, key, _signature(g, off), g, off, p, poff
+        key = (_signature(p, poff) ^ tc.mix(size.astype(np.uint64))) >> np.uint64(25) << np.uint64(1)
+        sig = _signature(g, off)
+        if hot is not None:
+            key = _bundled(key, sig, size, _least(g, off), hot)
+        yield a, size, key, sig, g, off, p, poff
 
 
 def _binaries(data: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -163,17 +206,17 @@ def _binaries(data: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * data.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _entries(texts: DataFrame, n: int, t: float, often) -> DataFrame:
-    """(bucket, entries): the prefixes' n-grams with group and size, packed by bucket."""
+def _entries(texts: DataFrame, n: int, t: float, often, hot) -> DataFrame:
+    """(bucket, entries): the prefixes' n-grams with group and size, a bundle's the least of its class, packed by bucket."""
 
     def pack(key: list[np.ndarray], groups: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        k = np.concatenate(key)
-        k.sort()
-        g, size = np.concatenate(groups), np.concatenate(sizes)
-        at = (k & np.uint64((1 << 18) - 1)).astype(np.int64)
+        g, first, no = np.unique(np.concatenate(groups), return_index=True, return_inverse=True)
+        size, k, low = np.concatenate(sizes)[first], np.concatenate(key), np.uint64((1 << 18) - 1)
+        k = np.unique(k & ~low | no[(k & low).astype(np.int64)].astype(np.uint64))
+        at = (k & low).astype(np.int64)
         e = np.empty(len(k), _ENTRY)
         e["gram"] = (k >> np.uint64(18)).astype(np.uint32)
-        e["g"], e["top"], e["size"] = g[at] & np.uint64(0xFFFFFFFF), g[at] >> np.uint64(32), np.minimum(size[at], _MOST)
+        e["g"], e["top"], e["size"] = g[at] & np.uint64(0xFFFFFFFF), g[at] >> np.uint64(32), size[at]
         bucket = (k >> np.uint64(50)).astype(np.int32)
         begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), _binaries(e, np.append(begin, len(e))).cast(pa.binary())], ["bucket", "entries"])
@@ -181,8 +224,11 @@ def _entries(texts: DataFrame, n: int, t: float, often) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, groups, sizes, rows, held = [], [], [], 0, 0
         for batch in batches:
-            for _, size, g, _, _, _, p, poff in _grouped(batch.column(0), n, t, often.value):
-                some = np.unique(g, return_index=True)[1]
+            for _, size, g, sig, _, _, p, poff in _grouped(batch.column(0), n, t, often.value, hot.value):
+                bundle = g & np.uint64(1) > 0
+                some = np.unique(np.where(bundle, sig, g), return_index=True)[1]
+                size = np.minimum(size, _MOST)
+                size = np.where(bundle, _LOWER[size], size)
                 some = some[size[some] > 0]
                 no = np.full(len(size), -1, np.int64)
                 no[some] = np.arange(len(some)) + rows
@@ -204,7 +250,8 @@ def _entries(texts: DataFrame, n: int, t: float, often) -> DataFrame:
 def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(g1, g2, k), g1 < g2: pairs of different groups in runs of equal n-grams whose sizes
     allow t.  k is 1, or more where the sets are too small to share SHARED n-grams.  The
-    arrays are ordered by n-gram, then size."""
+    arrays are ordered by n-gram, then size; the sets of a bundle may be larger, up to
+    the end of its class."""
     if not len(gram):
         return
     new = np.ones(len(gram), bool)
@@ -213,7 +260,8 @@ def _pairs_of_runs(gram: np.ndarray, g: np.ndarray, size: np.ndarray, t: float)
     end = np.append(np.flatnonzero(new)[1:], len(gram))[run]
     # in a run the partners of k are those after it, up to the size that is too large
     key = run.astype(np.int64) * (1 << 32)
-    last = np.minimum(end, np.searchsorted(key + size, key + np.minimum(_MOST, np.floor(size / t + 1e-9)).astype(np.int64), side="right"))
+    most = np.where(g & 1 > 0, _UPPER[size], size)
+    last = np.minimum(end, np.searchsorted(key + size, key + np.minimum(_MOST, np.floor(most / t + 1e-9)).astype(np.int64), side="right"))
     many = np.maximum(last - np.arange(len(gram)) - 1, 0)
     total = np.cumsum(many)
     a = 0
@@ -292,27 +340,51 @@ def _summed(x: np.ndarray, y: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _members(docs: DataFrame, n: int, t: float, often) -> DataFrame:
-    """(doc_id, t, g, sig, size) of each row of (text, doc_id, t); a text without n-grams has no g and sig."""
+    """(doc_id, t, g, sig, size, least hashes) of each row of (text, doc_id, t); a text without n-grams has no g and sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, size, key, sig, _, _, _, _ in _grouped(batch.column(0), n, t, often.value):
-                none = size == 0
+            for a, size, key, sig, g, off, _, _ in _grouped(batch.column(0), n, t, often.value):
+                none, least = size == 0, _least(g, off)
                 yield pa.RecordBatch.from_arrays(
-                    [c.slice(a, len(size)) for c in batch.columns[1:]] + [pa.array(key.view(np.int64), mask=none), pa.array(sig.view(np.int64), mask=none), pa.array(size.astype(np.int32))],
-                    ["doc_id", "t", "g", "sig", "size"],
+                    [c.slice(a, len(size)) for c in batch.columns[1:]] + [pa.array(key.view(np.int64), mask=none), pa.array(sig.view(np.int64), mask=none), pa.array(size.astype(np.int32)), *map(pa.array, least.T)],
+                    ["doc_id", "t", "g", "sig", "size", *_MINS],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, t bigint, g bigint, sig bigint, size int")
+    return docs.mapInArrow(run, "doc_id bigint, t bigint, g bigint, sig bigint, size int, " + ", ".join(f"{m} bigint" for m in _MINS))
 
 
-def _sets_of(texts: DataFrame, n: int, t: float, often, wanted) -> DataFrame:
+def _hot(members: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that HOT_SETS different sets or more have among their least ones, in order, and how many."""
+    each = members.filter("sig is not null").groupBy("sig").agg(*[F.max(m).alias(m) for m in _MINS]).select(F.explode(F.array(*_MINS)).alias("m"))
+    rows = each.filter("m <> 0").groupBy("m").agg(F.count("*").alias("k")).filter(F.col("k") >= HOT_SETS).orderBy(F.desc("k"), "m").limit(HOT_MOST).toArrow()
+    hashes, many = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], many[order]
+
+
+def _named(members: DataFrame, hot) -> DataFrame:
+    """(g, sig, size, copies, first) of each different set, with its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = dict(zip(batch.schema.names, batch.columns))
+            least = np.stack([x[m].to_numpy() for m in _MINS], axis=1)
+            g = _bundled(x["g"].to_numpy().view(np.uint64), x["sig"].to_numpy(), x["size"].to_numpy(), least, hot.value)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), *[x[c] for c in ("sig", "size", "copies", "first")]], ["g", "sig", "size", "copies", "first"])
+
+    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    each = members.filter("sig is not null").groupBy("g", "sig").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min(row).alias("first"), *[F.max(m).alias(m) for m in _MINS])
+    return each.mapInArrow(run, "g bigint, sig bigint, size int, copies bigint not null, first struct<n: boolean, doc_id: bigint, t: bigint>")
+
+
+def _sets_of(texts: DataFrame, n: int, t: float, often, hot, wanted) -> DataFrame:
     """(g, sig, grams): the whole sets, of the groups in ``wanted`` or of all; once per set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, seen = wanted.value if wanted else None, np.zeros(0, np.int64)
         for batch in batches:
-            for _, size, key, sig, g, off, _, _ in _grouped(batch.column(0), n, t, often.value):
+            for _, size, key, sig, g, off, _, _ in _grouped(batch.column(0), n, t, often.value, hot.value):
                 key, sig = key.view(np.int64), sig.view(np.int64)
                 some = np.unique(sig, return_index=True)[1]
                 some = some[size[some] > 0]
@@ -353,95 +425,150 @@ def _similar(docs: DataFrame, n: int, t: float, broadcast_keys: int, pairs: bool
     often = spark.sparkContext.broadcast(classes)
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(seen * (1 - t) / SWEEP_ROWS))
     members = checkpointed(_members(docs, n, t, often))
-    between = _candidates(_entries(texts, n, t, often), t, tasks)
-    row = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
-    names = checkpointed(members.filter("sig is not null").groupBy("g", "sig").agg(F.max("size").alias("size"), F.count("*").alias("copies"), F.min(row).alias("first")))
-    within = names.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    candidates = checkpointed(between.unionByName(within))
+    hot = spark.sparkContext.broadcast(_hot(members))
+    names = checkpointed(_named(members, hot))
+    groups = names.groupBy("g").agg(F.count("*").alias("k"), F.sum("size").alias("n"))
+    between = _candidates(_entries(texts, n, t, often, hot), t, tasks)
+    candidates = checkpointed(between.unionByName(groups.filter("k > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))))
     wanted_keys = candidates.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
     few = wanted_keys.count() <= broadcast_keys
     wanted = spark.sparkContext.broadcast(np.sort(wanted_keys.toArrow().column(0).to_numpy())) if few else None
-    sets_ = _sets_of(texts, n, t, often, wanted)
+    sets_ = _sets_of(texts, n, t, often, hot, wanted)
     if not few:
         sets_ = sets_.join(wanted_keys, "g", "left_semi")
-    one = lambda k: names.select(F.col("g").alias(f"g{k}"), F.col("sig").alias(f"x{k}"), F.col("size").alias(f"n{k}"))
-    sigs = candidates.join(one(1), "g1").join(one(2), "g2").filter("g1 <> g2 or x1 < x2")
-    sigs = sigs.filter(F.least("n1", "n2") >= t * F.greatest("n1", "n2") - 1e-9)
-    swap = F.col("x1") > F.col("x2")
-    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    sigs = sigs.select(pick("x1", "x2").alias("s1"), pick("x2", "x1").alias("s2"), pick("n1", "n2").alias("n1"), pick("n2", "n1").alias("n2"))
-    sets_ = sets_.groupBy("sig").agg(F.first("grams").alias("grams")).join(names.select("sig", "copies"), "sig")
-    return members, names, _verified(sigs, sets_, t, pairs)
-
-
-def _verified(sigs: DataFrame, sets_: DataFrame, t: float, pairs: bool) -> DataFrame:
-    """Of the pairs (s1, s2, n1, n2) of sets with n1 and n2 n-grams, those at a similarity
-    of t at least: (s1, s2, overlap, size1, size2), or a row (sig, links, root) for each
-    set and block with the rows that it is similar to and the least set that it is
-    connected with there.
-
-    A pair is checked at the least neighbour of its lesser set, where the sets of all
-    pairs that meet there come once each, ahead of the pairs.  A neighbour where many
-    meet is several blocks: its sets fall in parts, and each two parts are a block.
+    # a group too large for a block is several units; most are one
+    split = checkpointed(groups.select("g", F.ceil(F.greatest(F.col("n") / BLOCK_GRAMS, F.col("k") / BLOCK_SETS)).alias("pieces")).filter("pieces > 1"))
+    unit = lambda g, pieces, k: F.when(pieces.isNull(), g).otherwise(F.xxhash64(g, k.cast("bigint")))
+    units = names.join(split, "g", "left").select(unit(F.col("g"), F.col("pieces"), F.pmod(F.hash("sig"), F.col("pieces"))).alias("u"), "sig", "size", "copies")
+    pieces = lambda k: split.select(F.col("g").alias(f"g{k}"), F.col("pieces").alias(f"p{k}"))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"p{k}", F.lit(1)) - 1)).alias(f"k{k}")
+    meet = candidates.join(pieces(1), "g1", "left").join(pieces(2), "g2", "left").select("*", each(1)).select("*", each(2)).filter("g1 <> g2 or k1 <= k2")
+    meet = meet.select(*[unit(F.col(f"g{k}"), F.col(f"p{k}"), F.col(f"k{k}")).alias(f"u{k}") for k in (1, 2)])
+    meet = meet.select(F.least("u1", "u2").alias("s1"), F.greatest("u1", "u2").alias("s2"))
+    return members.drop(*_MINS), names, _verified(meet, units, sets_.groupBy("sig").agg(F.first("grams").alias("grams")), t, pairs)
+
+
+def _merge(label: np.ndarray, at: np.ndarray) -> None:
+    """The rows ``at`` and all that have the label of one of them get the least of these."""
+    some = np.unique(label[at])
+    if len(some) > 1:
+        label[np.isin(label, some)] = some[0]
+
+
+class _Block:
+    """Sets that meet in a block, with n-grams and copies, in the order of their signatures."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, int]]) -> None:
+        rows.sort(key=lambda r: r[1])
+        self.sig, self.grams = np.array([r[1] for r in rows], np.int64), [r[2] for r in rows]
+        self.copies, self.size = np.array([r[3] for r in rows], np.int64), np.array([len(r[2]) for r in rows], np.int64)
+        self.of: dict[int, list[int]] = {}
+        for k, r in enumerate(rows):
+            self.of.setdefault(r[0], []).append(k)
+        self._known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _columns(self, u: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A unit's n-grams, and for each one of each of its sets which one it is, and of which set."""
+        if u not in self._known:
+            own = self.of[u]
+            grams, which = np.unique(np.concatenate([self.grams[k] for k in own]), return_inverse=True)
+            self._known[u] = grams, which.astype(np.int32), np.repeat(np.arange(len(own), dtype=np.int32), self.size[own])
+        return self._known[u]
+
+    def overlaps(self, u: int, v: int) -> np.ndarray:
+        """Common n-grams of each set of u and each of v."""
+        a, b = self.of[u], self.of[v]
+        if len(a) * len(b) <= FEW_PAIRS:
+            return np.array([[_overlap(self.grams[x], self.grams[y]) for y in b] for x in a], np.int64).reshape(len(a), len(b))
+        out = np.zeros((len(a), len(b)), np.int64)
+        (x, ix, rx), (y, iy, ry) = self._columns(u), self._columns(v)
+        _, px, py = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        cx, cy = np.full(len(x), -1, np.int64), np.full(len(y), -1, np.int64)
+        cx[px] = cy[py] = np.arange(len(px))
+        cx, cy = cx[ix], cy[iy]
+        wide = max(1, MATRIX // (len(a) + len(b)))  # float32 counts exactly up to 2**24
+        for lo in range(0, len(px), wide):
+            m = [np.zeros((k, min(wide, len(px) - lo)), np.float32) for k in (len(a), len(b))]
+            for z, c, r in zip(m, (cx, cy), (rx, ry)):
+                here = (c >= lo) & (c < lo + wide)
+                z[r[here], c[here] - lo] = 1
+            out += (m[0] @ m[1].T).astype(np.int64)
+        return out
+
+
+def _verified(meet: DataFrame, units: DataFrame, sets_: DataFrame, t: float, pairs: bool) -> DataFrame:
+    """Of the pairs (s1, s2), s1 <= s2, of units (u, sig, size, copies), the pairs of their
+    sets (sig, grams) at a similarity of t at least: (s1, s2, overlap, size1, size2), or a
+    row (sig, links, root) for each set and block with the rows that it is similar to and
+    the least set that it is connected with there.
+
+    A pair of units is checked at the least neighbour of its lesser one, where the sets of
+    all pairs that meet there come once each, ahead of the pairs.  A neighbour where many
+    meet is several blocks: its units fall in parts, and each two parts are a block.
     """
 
-    def block(here: dict, todo: list[tuple[int, int]]) -> list[tuple]:
-        good, links, root = [], {}, {}
-
-        def top(x: int) -> int:
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = x = root.setdefault(up, up)
-            return x
-
-        for x, y in todo:
-            (a, na), (b, nb) = here[x], here[y]
-            o = _overlap(a, b)
-            if o >= t * (len(a) + len(b) - o) - 1e-9:
-                if pairs:
-                    good.append((x, y, o, len(a), len(b)))
-                    continue
-                links[x], links[y] = links.get(x, 0) + nb, links.get(y, 0) + na
-                p, q = top(x), top(y)
-                root[max(p, q)] = min(p, q)
-        return good if pairs else [(x, k, top(x)) for x, k in links.items()]
+    def block(rows: list[tuple], todo: list[tuple[int, int]]) -> list[tuple]:
+        here, found = _Block(rows), []
+        links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+        for u, v in todo:
+            a, b = np.array(here.of[u]), np.array(here.of[v])
+            if u == v and len(a) < 2:
+                continue
+            o = here.overlaps(u, v)
+            good = o >= t * (here.size[a][:, None] + here.size[b] - o) - 1e-9
+            if u == v:
+                good = np.triu(good, 1)
+            if not good.any():
+                continue
+            if pairs:
+                for x, y in zip(*np.nonzero(good)):
+                    p, q = sorted((a[x], b[y]))
+                    found.append((here.sig[p], here.sig[q], o[x, y], here.size[p], here.size[q]))
+                continue
+            np.add.at(links, a, good @ here.copies[b])
+            np.add.at(links, b, here.copies[a] @ good)
+            for x in np.flatnonzero(good.any(axis=1)):
+                _merge(label, np.append(b[good[x]], a[x]))
+        return found if pairs else [(here.sig[k], links[k], here.sig[label[k]]) for k in np.flatnonzero(links)]
 
     kinds = [pa.int64()] * 2 + [pa.int32()] * 3 if pairs else [pa.int64()] * 3
     names = ["s1", "s2", "overlap", "size1", "size2"] if pairs else ["sig", "links", "root"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, here, todo, rows = None, {}, [], []
+        at, here, todo, rows = None, [], [], []
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)], names)
 
         for batch in batches:
-            grams = batch.column(5)
-            for k, (*own, x, y, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 6)))):
+            grams = batch.column(6)
+            for k, (*own, x, y, sig, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 4, 5, 7)))):
                 if own != at:
                     rows += block(here, todo)
-                    at, here, todo = own, {}, []
+                    at, here, todo = own, [], []
                     if len(rows) >= 10_000:
                         yield flush(rows)
                         rows = []
                 if y is None:
-                    here[x] = np.frombuffer(grams[k].as_py(), np.uint64), copies
+                    here.append((x, sig, np.frombuffer(grams[k].as_py(), np.uint64), copies))
                 else:
                     todo.append((x, y))
         rows += block(here, todo)
         if rows:
             yield flush(rows)
 
-    near = sigs.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(sigs.select(F.col("s2").alias("s"), F.col("s1").alias("o")))
+    near = meet.select(F.col("s1").alias("s"), F.col("s2").alias("o")).unionByName(meet.select(F.col("s2").alias("s"), F.col("s1").alias("o")))
     least = near.groupBy("s").agg(F.least("s", F.min("o")).alias("home")).withColumnRenamed("s", "s1")
-    homed = checkpointed(sigs.join(least, "s1").select("home", "s1", "s2", "n1", "n2"))
-    meet = homed.select("home", F.explode(F.array(F.struct(F.col("s1").alias("s"), F.col("n1").alias("n")), F.struct(F.col("s2").alias("s"), F.col("n2").alias("n")))).alias("x")).distinct()
-    parts = meet.groupBy("home").agg(F.ceil(F.greatest(F.sum("x.n") / BLOCK_GRAMS, F.count("*") / BLOCK_SETS)).cast("int").alias("parts"))
+    homed = checkpointed(meet.join(least, "s1").select("home", "s1", "s2"))
+    sized = units.groupBy(F.col("u").alias("s")).agg(F.count("*").alias("k"), F.sum("size").alias("n"))
+    there = homed.select("home", F.explode(F.array("s1", "s2")).alias("s")).distinct().join(sized, "s")
+    parts = there.groupBy("home").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_GRAMS, F.sum("k") / BLOCK_SETS)).cast("int").alias("parts"))
     part = lambda s: F.pmod(F.hash(s), F.col("parts"))
     placed = homed.join(parts, "home").select("home", F.least(part("s1"), part("s2")).alias("i"), F.greatest(part("s1"), part("s2")).alias("j"), "s1", "s2")
-    travel = placed.select("home", "i", "j", F.explode(F.array("s1", "s2")).alias("sig")).distinct().join(sets_, "sig")
+    travel = placed.select("home", "i", "j", F.explode(F.array("s1", "s2")).alias("u")).distinct().join(units.select("u", "sig", "copies"), "u").join(sets_, "sig")
     none = F.lit(None)
-    rows = travel.select("home", "i", "j", F.col("sig").alias("x"), none.cast("bigint").alias("y"), "grams", "copies")
-    rows = rows.unionByName(placed.select("home", "i", "j", F.col("s1").alias("x"), F.col("s2").alias("y"), none.cast("binary").alias("grams"), none.cast("bigint").alias("copies")))
+    rows = travel.select("home", "i", "j", F.col("u").alias("x"), none.cast("bigint").alias("y"), "sig", "grams", "copies")
+    rows = rows.unionByName(placed.select("home", "i", "j", F.col("s1").alias("x"), F.col("s2").alias("y"), none.cast("bigint").alias("sig"), none.cast("binary").alias("grams"), none.cast("bigint").alias("copies")))
     schema = "s1 bigint, s2 bigint, overlap int, size1 int, size2 int" if pairs else "sig bigint, links bigint, root bigint"
     return rows.repartition("home", "i", "j").sortWithinPartitions("home", "i", "j", F.col("y").asc_nulls_first()).mapInArrow(check, schema)
 

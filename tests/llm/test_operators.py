@@ -360,6 +360,32 @@ def test_links_are_counted_in_blocks_and_for_hot_sets(spark, monkeypatch):
     assert got == {i: (0, 1239) if i < 5000 else (i, 0) for i, _ in rows}
 
 
+def test_a_large_cluster_keeps_its_links_without_a_row_for_each_pair(spark, monkeypatch):
+    r = random.Random(12)
+    base = [f"c{k}" for k in range(120)]
+    rows = [(k, " ".join(f"o{k}x{j}" if r.random() < 0.055 else w for j, w in enumerate(base))) for k in range(500)]
+    grams = [{*zip(ws, ws[1:], ws[2:])} for ws in (x.split() for _, x in rows)]
+    near = [[y for y in range(500) if x != y and (o := len(grams[x] & grams[y])) >= 0.5 * (len(grams[x]) + len(grams[y]) - o) - 1e-9] for x in range(500)]
+    first = {}
+    for k in range(500):
+        todo = [k] if k not in first else []
+        while todo:
+            if first.setdefault(x := todo.pop(), k) == k:
+                todo += [y for y in near[x] if y not in first]
+    assert 30_000 < sum(map(len, near)) / 2 < 120_000  # neither none nor all of them
+    written, save = [], ngram_join.checkpointed
+
+    def counted(df):
+        written.append((kept := save(df)).count())
+        return kept
+
+    monkeypatch.setattr(ngram_join, "checkpointed", counted)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, ngram_join.near_duplicates(df).collect()))
+    assert got == [(k, first[k], len(near[k])) for k in range(500)]
+    assert max(written) < 10 * len(rows)
+
+
 def test_a_doc_id_with_several_texts_has_a_row_for_each(spark):
     a, b = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
     df = spark.createDataFrame([(1, a), (1, b), (2, a), (2, b), (3, None), (None, "x y z")], "doc_id bigint, text string")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,11 +62,20 @@ def at_home(symbols: DataFrame, home: str = "home_package") -> DataFrame:
 
 
 _HEAD = re.compile(r"^[A-Za-z]+", re.M)
+#: Words that are kept once for all their places.
+_KNOWN = 1 << 16
 
 
 def _line_heads(bodies: pa.Array) -> pa.Array:
-    rows = [[] if x is None else [{"name": m[0].upper(), "position": m.start()} for m in _HEAD.finditer(x)] for x in bodies.to_pylist()]
-    return pa.array(rows, pa.list_(pa.struct([("name", pa.string()), ("position", pa.int32())])))
+    many, name, position, known = [0], [], array("i"), {}
+    for body in bodies:  # one text at a time
+        for m in _HEAD.finditer(body.as_py() or ""):
+            word = m[0].upper()
+            name.append(known.setdefault(word, word) if len(known) < _KNOWN else word)
+            position.append(m.start())
+        many.append(len(name))
+    rows = pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(np.frombuffer(position, np.int32)) if name else pa.array([], pa.int32())], ["name", "position"])
+    return pa.ListArray.from_arrays(pa.array(many, pa.int32()), rows)
 
 
 def line_heads(documents: DataFrame) -> DataFrame:

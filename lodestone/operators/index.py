@@ -28,7 +28,10 @@ def spread(docs: DataFrame) -> DataFrame:
 
     A table of many files or row groups, as all large ones are, stays as it is; one that
     would be read by a few tasks only is moved once, before the work that needs the cores.
+    What comes out of a shuffle is as the shuffle left it: to ask would be to run it.
     """
+    if docs._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 

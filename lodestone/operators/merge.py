@@ -68,7 +68,7 @@ def tokens(token: DataFrame) -> DataFrame:
 
 def postings(index: DataFrame, ids: DataFrame) -> DataFrame:
     """A document is in one shard, so its postings need no regrouping, only the new id."""
-    return _moved(index, ids, "inner").select("term", "doc_id", "positions")
+    return _moved(index, ids, "inner").select(*[c for c in index.columns if c != "shard"])
 
 
 def plain(rows: DataFrame) -> DataFrame:

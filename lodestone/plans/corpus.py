@@ -54,11 +54,11 @@ def asd_system(docs: DataFrame) -> DataFrame:
     return first.select(identity(F.lit("system"), F.col("lang")).alias("system_id"), F.col("lang").alias("name"), "doc_id", "analyzed_time")
 
 
-def relations(docs: DataFrame) -> dict[str, DataFrame]:
-    """All relations of a table (doc_id, filename, body, source, lang)."""
+def relations(docs: DataFrame, also: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """All relations of a table (doc_id, filename, body, source, lang).  ``also``: columns that postings take along."""
     spread = index.spread(docs)
     return {
-        "document": docs.select("doc_id", "filename", "body"), "token": index.dictionary(spread), "inverted_index": index.postings(spread), "symbol": symbol(docs), "package": package(docs),
+        "document": docs.select("doc_id", "filename", "body"), "token": index.dictionary(spread), "inverted_index": index.postings(spread, also=also), "symbol": symbol(docs), "package": package(docs),
         "symbol_definition": symbol_definition(docs), "package_definition": package_definition(docs), "asd_system": asd_system(docs),
     }
 
@@ -72,12 +72,12 @@ def sharded(docs: DataFrame) -> DataFrame:
     return docs.join(local, F.col("doc_id") == F.col("old_id")).withColumn("shard", number).withColumn("doc_id", F.col("local_id")).drop("local_id", "old_id")
 
 
-def by_language(docs: DataFrame) -> list[dict[str, DataFrame]]:
+def by_language(docs: DataFrame, also: Sequence[str] = ()) -> list[dict[str, DataFrame]]:
     """The relations of separate indexes, one for each language in order, each with its own ids from 1 on."""
     local = docs.select(F.col("doc_id").alias("old_id"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("bigint").alias("local_id"))
     own = docs.join(local, F.col("doc_id") == F.col("old_id")).withColumn("doc_id", F.col("local_id")).select("doc_id", "filename", "body", "source", "lang")
     # the languages there are: a handful, whatever the corpus
-    return [relations(own.filter(F.col("lang").eqNullSafe(r["lang"]))) for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    return [relations(own.filter(F.col("lang").eqNullSafe(r["lang"])), also) for r in docs.select("lang").distinct().orderBy("lang").collect()]
 
 
 def stored(spark: SparkSession, sf_dir: str) -> str:

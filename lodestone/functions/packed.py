@@ -29,17 +29,16 @@ class Postings(NamedTuple):
 
 
 def blocks(texts: pa.Array, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, code points, length of each text) of texts that have ``most`` code points
+    """(from, to, code points, length of each text) of texts that have ``most`` bytes
     together, or of one that has more.  Nulls are empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    size = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, lo = np.cumsum(size), 0
-    while lo < len(size):
+    ends, lo = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(ends):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
-        offset = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset + lo : texts.offset + hi + 1]
-        raw = memoryview(texts.buffers()[2])[offset[0] : offset[-1]] if offset[-1] > offset[0] else b""
-        yield lo, hi, np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), np.uint32), size[lo:hi]
+        some = pc.fill_null(texts[lo:hi], "")
+        size = pc.utf8_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield lo, hi, np.frombuffer("".join(some.to_pylist()).encode("utf-32-le"), np.uint32), size
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def _order(major: np.ndarray, majors: int, minor: np.ndarray, minors: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +70,16 @@ class Block:
         self.base = max(1, len(self.letters))
         r, base = rank[code], np.uint64(self.base)
         every = (r[:-2] * base + r[1:-1]) * base + r[2:] if len(r) >= WIDTH else np.zeros(0, np.uint64)
+        known = rank if wanted is not None else None
+        del r, rank
         many = np.maximum(size - (WIDTH - 1), 0)
         self.row = np.repeat(np.arange(len(size), dtype=np.int32), many)
-        self.pos = (np.arange(len(self.row)) - np.repeat(np.cumsum(many) - many, many)).astype(np.int32)
-        self.key = every[np.repeat(np.cumsum(size) - size, many) + self.pos]
+        small = np.int32 if len(code) < 1 << 31 else np.int64
+        self.pos = np.arange(len(self.row), dtype=small) - np.repeat((np.cumsum(many) - many).astype(small), many)
+        self.key = every[np.repeat((np.cumsum(size) - size).astype(small), many) + self.pos]
         if wanted is not None:
             there = [[ord(c) for c in t] for t in wanted if all(ord(c) < top and seen[ord(c)] for c in t)]
-            some = np.array([(int(rank[a]) * self.base + int(rank[b])) * self.base + int(rank[c]) for a, b, c in there], np.uint64)
+            some = np.array([(int(known[a]) * self.base + int(known[b])) * self.base + int(known[c]) for a, b, c in there], np.uint64)
             keep = np.flatnonzero(np.isin(self.key, some))
             self.row, self.pos, self.key = self.row[keep], self.pos[keep], self.key[keep]
         self.rows = max(1, len(size))

@@ -10,7 +10,8 @@ import pytest
 
 import __spark_entry__ as entry
 from lodestone.functions import codec, packed
-from lodestone.operators import index
+from lodestone.operators import definitions, index, merge, search, store
+from lodestone.plans import corpus
 
 
 def _docs(spark, seed=3, many=60, step=1):
@@ -86,7 +87,7 @@ def _plan(spark, sf_dir, name):
     return entry.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["codec_roundtrip"])
+@pytest.mark.parametrize("name", ["codec_roundtrip", "posting_encoded_bytes", "posting_lists", "posting_order_check", "insert_if_absent"])
 def test_postings_travel_packed(spark, sf_dir, name):
     plan = _plan(spark, sf_dir, name)
     assert "Repartition" in plan and "data#" in plan and not {x for x in ("collect_list", "Window", "Join") if x in plan}

@@ -34,7 +34,7 @@ def ingest(documents: DataFrame, out: str, checkpoint: str, **trigger) -> Stream
         stored = store.read_one(spark, out, "document").select("doc_id")
         new = index.absent(stored, batch, "doc_id").persist()
         spread = index.spread(new)
-        store.write_part(out, "inverted_index", part, index.postings(spread))
+        store.write_part(out, "inverted_index", part, index.packed(spread))
         if not store.has_part(spark, out, "token", part):  # else they are among the known ones
             known = store.read_one(spark, out, "token")
             store.write_part(out, "token", part, index.absent(known, index.dictionary(spread), "term"))
